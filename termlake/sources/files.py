@@ -59,9 +59,11 @@ def scan_files(spark: SparkSession, roots: list[str], missing_roots: str = "erro
 
 
 def is_eligible(extensions=None, max_file_bytes: int = MAX_FILE_BYTES, path="path", size="length") -> Column:
-    """Allowed extension and not over the size cap. The cap on ``length`` is
+    """Allowed extension (``"*"`` allows all) and not over the size cap. The cap on ``length`` is
     pushed into the file scan, so larger files are not read."""
-    return ext_of(path).isin(list(extensions or DEFAULT_EXTENSIONS)) & (F.col(size) <= max_file_bytes)
+    allowed = list(extensions or DEFAULT_EXTENSIONS)
+    named = F.lit(True) if "*" in allowed else ext_of(path).isin(allowed)
+    return named & (F.col(size) <= max_file_bytes)
 
 
 def filter_ext(files: DataFrame, extensions=None) -> DataFrame:
