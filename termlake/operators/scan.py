@@ -4,17 +4,17 @@ postings form, which the tests compare it with."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import MAX_TOKEN_BYTES, tokens
+from ..schema import TEXT_FIELDS
 from .conditions import Condition, Leaf, groups_of
 from .match import pattern_test, shift
 from .rank import group_flag
 
-ARRAY = {"content": "_content_tokens", "filename": "_filename_tokens"}
-
-
 def _positions(toks: Column, word: str) -> Column:
     """Positions of a word in the token array."""
     return F.filter(F.transform(toks, lambda t, i: F.when(t == word, i)), lambda i: i.isNotNull())
@@ -57,8 +57,8 @@ def _follow(front: Column, toks: Column, off: int, word: str, slop: int) -> Colu
     return F.filter(F.array_distinct(extended), lambda s: s["cost"] <= slop)
 
 
-def leaf_flag(leaf: Leaf) -> Column:
-    """The condition as a boolean column over a tokenized document row."""
+def leaf_flag(leaf: Leaf, toks: dict[str, Column]) -> Column:
+    """The condition as a boolean over a document and its token arrays."""
     if leaf.kind == "all":
         return F.lit(True)
     if leaf.kind == "equal":
@@ -66,9 +66,9 @@ def leaf_flag(leaf: Leaf) -> Column:
     if leaf.kind == "words":
         flag = F.lit(False)
         for f in leaf.fields:
-            flag = flag | F.coalesce(_words_flag(leaf, F.col(ARRAY[f])), F.lit(False))
+            flag = flag | F.coalesce(_words_flag(leaf, toks[f]), F.lit(False))
         return flag
-    return F.exists(F.col(ARRAY["content"]),
+    return F.exists(toks["content"],
                     lambda t: (F.octet_length(t) < MAX_TOKEN_BYTES) & pattern_test(leaf, t))
 
 
@@ -76,13 +76,13 @@ def scan(docs: DataFrame, condition: Condition) -> DataFrame:
     """The documents that match, unranked. A condition on ext or path only is a
     plain predicate, which the scan of the documents can push down."""
     groups = groups_of(condition)
-    flag = None
-    for g in groups:
-        f = group_flag(g, {l: leaf_flag(l) for l, _ in g})
-        flag = f if flag is None else flag | f
-    out = docs
-    kinds = {l.kind for g in groups for l, _ in g}
-    if kinds - {"all", "equal"}:
-        for f, arr in ARRAY.items():
-            out = out.withColumn(arr, tokens(F.col(f)))
-    return out.filter(flag).drop(*ARRAY.values())
+
+    def flag(toks: dict[str, Column]) -> Column:
+        return reduce(lambda a, b: a | b, (group_flag(g, {l: leaf_flag(l, toks) for l, _ in g}) for g in groups))
+
+    if not {l.kind for g in groups for l, _ in g} - {"all", "equal"}:
+        return docs.filter(flag({}))
+    # The token arrays are bound as a lambda's variable: as a plain column the
+    # optimizer would copy the tokenizer into every place that reads them.
+    both = F.struct(*[tokens(F.col(f)).alias(f) for f in TEXT_FIELDS])
+    return docs.filter(F.exists(F.array(both), lambda d: flag({f: d[f] for f in TEXT_FIELDS})))
