@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.snippet import with_snippet
@@ -196,7 +196,7 @@ class Collection:
             docs = docs.filter(F.col("path").isin([r.path for r in rows]) if rows else F.lit(False))
             top = F.broadcast(top)
         hits = with_snippet(docs.join(top, KEY), highlight_weights(condition, res))
-        return hit_projection(hits).orderBy(F.desc("score"), "path")
+        return hit_projection(hits).orderBy(F.desc("score"), "path").limit(limit)
 
     def search_many(self, queries: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
         """Best hits of each query of a DataFrame; see ``operators.many``."""

@@ -16,8 +16,10 @@ from ..functions.text import mtime_millis, slugify
 from ..operators import sync
 from ..operators.postings import with_key
 from ..schema import DOCUMENT_COLS
-from ..sources.files import (MAX_FILE_BYTES, documents as read_all, is_eligible, path_exists,
+from ..sources.files import (MAX_FILE_BYTES, disjoint_layers, documents as read_all, is_eligible, path_exists,
                              read_documents, scan_files)
+from ..sources.hidden import hidden_files, ignore_lines, read_hidden
+from ..sources.ignore import apply_ignore, compile_rules
 from .collection import Collection, Version, empty_version
 
 MANIFEST = ("name string, dir string, folders array<string>, doc_count bigint, last_built bigint, "
@@ -145,28 +147,75 @@ class CollectionStore:
         return fresh.write_gen(gen, docs, None, n_bytes)
 
     def build_full(self, name: str, extensions=None, max_file_bytes: int = MAX_FILE_BYTES,
-                   missing_roots: str = "error") -> dict:
+                   missing_roots: str = "error", hidden: bool = True, ignore_files: bool = True) -> dict:
         """Index every eligible file anew. A file under two overlapping folders
-        becomes two documents."""
+        becomes two documents. Options as for ``build``."""
         row = self._row(name)
-        files = self._files(row, missing_roots)
-        seen = files.agg(
+        gen = self._now(row)
+        work = f"{self.root}/{row.dir}/sync-{gen}"
+        visible, unseen, _ = self._files(row, work, missing_roots, hidden, ignore_files)
+        listing = visible.select("path", "length")
+        docs = read_all(visible, extensions, max_file_bytes)
+        if unseen is not None:
+            listing = listing.unionByName(unseen.select("path", "length"))
+            docs = docs.unionByName(read_documents(read_hidden(
+                unseen.filter(is_eligible(extensions, max_file_bytes)))))
+        seen = listing.agg(
             F.count(F.lit(1)).alias("n"),
             F.sum(F.when(is_eligible(extensions, max_file_bytes), F.col("length"))).alias("bytes")).first()
-        version = self._rebase(row, self._now(row), read_all(files, extensions, max_file_bytes), seen["bytes"] or 0)
+        version = self._rebase(row, gen, docs, seen["bytes"] or 0)
         self._commit(row, version)
+        self._delete(work)
         return dict(indexed=version.n_docs, skipped=seen["n"] - version.n_docs, files_seen=seen["n"],
                     unchanged=0, removed=0)
 
     def build(self, name: str, extensions=None, max_file_bytes: int = MAX_FILE_BYTES,
-              missing_roots: str = "error") -> dict:
-        """Bring a collection up to date with its folders; returns the counts."""
+              missing_roots: str = "error", hidden: bool = True, ignore_files: bool = True) -> dict:
+        """Bring a collection up to date with its folders; returns the counts.
+
+        ``hidden`` includes files whose names start with ``.`` or ``_``, which
+        Spark does not list itself; ``ignore_files`` obeys ignore files."""
         row = self._row(name)
-        files = self._files(row, missing_roots)
-        listing = files.select("path", "copy", mtime_millis("modificationTime").alias("modified"),
-                               F.col("length").alias("size"))
-        return self._sync(row, listing, lambda changed, all_: self._read_changed(
-            row, files, changed, all_, extensions, max_file_bytes), extensions, max_file_bytes)
+        gen = self._now(row)
+        work = f"{self.root}/{row.dir}/sync-{gen}"
+        visible, unseen, has_rules = self._files(row, work, missing_roots, hidden, ignore_files)
+        meta = lambda files, is_hidden: files.select(
+            "path", "copy", mtime_millis("modificationTime").alias("modified"), F.col("length").alias("size"),
+            "modificationTime", F.lit(is_hidden).alias("hidden"))
+        listing = meta(visible, False)
+        if unseen is not None:
+            listing = listing.unionByName(meta(unseen, True))
+
+        def fetch(changed, everything):
+            mine = changed.filter(~F.col("hidden"))
+            whole = everything and not has_rules
+            docs = (read_all(visible, extensions, max_file_bytes) if whole
+                    else self._read_changed(visible, mine, extensions, max_file_bytes))
+            if unseen is not None:
+                named = changed.filter("hidden").withColumnRenamed("size", "length")
+                docs = docs.unionByName(read_documents(read_hidden(named)))
+            return docs
+
+        return self._sync(row, gen, work, listing, fetch, extensions, max_file_bytes)
+
+    def _files(self, row: Row, work: str, missing_roots: str, hidden: bool, ignore_files: bool):
+        """(files Spark lists, hidden files or None, are there ignore rules)."""
+        roots = list(row.folders)
+        visible, unseen = scan_files(self.spark, roots, missing_roots), None
+        if hidden:
+            for i, layer in enumerate(disjoint_layers([r for r in roots if path_exists(self.spark, r)])):
+                found = hidden_files(self.spark, layer, visible.filter(F.col("copy") == i)).withColumn("copy", F.lit(i))
+                unseen = found if unseen is None else unseen.unionByName(found)
+        if not ignore_files:
+            return visible, unseen, False
+        paths = visible.select("path")
+        if unseen is not None:
+            paths = paths.unionByName(unseen.select("path"))
+        compile_rules(ignore_lines(self.spark, paths)).write.parquet(f"{work}/rules")
+        rules = self.spark.read.parquet(f"{work}/rules")
+        if rules.isEmpty():
+            return visible, unseen, False
+        return apply_ignore(visible, rules), unseen if unseen is None else apply_ignore(unseen, rules), True
 
     def build_from(self, name: str, docs: DataFrame, extensions=("*",),
                    max_file_bytes: int = MAX_FILE_BYTES) -> dict:
@@ -174,18 +223,15 @@ class CollectionStore:
         row = self._row(name)
         docs = with_key(docs).select("path", "copy", *DOCUMENT_COLS[1:])
         able = docs.filter(is_eligible(extensions, max_file_bytes, "path", "size"))
-        fetch = lambda changed, all_: able if all_ else able.join(changed, "path", "left_semi")
-        return self._sync(row, docs.select("path", "copy", "modified", "size"), fetch, extensions, max_file_bytes)
-
-    def _files(self, row: Row, missing_roots: str) -> DataFrame:
-        return scan_files(self.spark, list(row.folders), missing_roots)
+        fetch = lambda changed, everything: able if everything else able.join(changed, "path", "left_semi")
+        gen = self._now(row)
+        return self._sync(row, gen, f"{self.root}/{row.dir}/sync-{gen}", docs.select("path", "copy", "modified", "size"),
+                          fetch, extensions, max_file_bytes)
 
-    def _read_changed(self, row, files, changed, all_changed, extensions, max_file_bytes) -> DataFrame:
+    def _read_changed(self, files, changed, extensions, max_file_bytes) -> DataFrame:
         """Document rows of the changed files. A few are loaded by name. For more,
         the file scan is narrowed to the hours in which changed files were
         modified, then joined; only that superset is opened."""
-        if all_changed and changed is None:
-            return read_all(files, extensions, max_file_bytes)
         names = [r.path for r in changed.select("path").limit(MAX_PATHS_BY_NAME + 1).collect()]
         if not names:
             return read_documents(files.filter(F.lit(False)))
@@ -207,17 +253,16 @@ class CollectionStore:
                            & (F.col("modificationTime") <= F.timestamp_millis(F.lit(hi + 1))))
         picked = files.filter(is_eligible(extensions, max_file_bytes) & when)
         mine = changed.select("path", F.col("copy").alias("_copy"))
+        # Comparing with <= keeps the join on the path alone, as the buckets are.
         return read_documents(picked.join(mine, "path").filter(F.col("copy") <= F.col("_copy")).drop("_copy"))
 
-    def _sync(self, row: Row, listing: DataFrame, fetch, extensions, max_file_bytes) -> dict:
-        gen = self._now(row)
+    def _sync(self, row: Row, gen: int, work: str, listing: DataFrame, fetch, extensions, max_file_bytes) -> dict:
         old = self._collection(row) if row.base is not None else None
-        work = f"{self.root}/{row.dir}/sync-{gen}"
         snapshot = (sync.read_snapshot(old.documents()) if old
                     else self.spark.createDataFrame([], "path string, modified bigint"))
         # Written once, so that every later step decides on the same listing.
-        sync.classify_changes(listing, snapshot, extensions, max_file_bytes).write.parquet(work)
-        seen = self.spark.read.parquet(work)
+        sync.classify_changes(listing, snapshot, extensions, max_file_bytes).write.parquet(f"{work}/listing")
+        seen = self.spark.read.parquet(f"{work}/listing")
         changed_rows = seen.filter(F.col("status") == sync.CHANGED)
         n = seen.agg(
             F.count(F.lit(1)).alias("files"),
@@ -227,11 +272,13 @@ class CollectionStore:
             F.sum(F.when(F.col("status") == sync.CHANGED, F.col("size"))).alias("changed_bytes"),
             F.sum(F.when(F.col("status") != sync.INELIGIBLE, F.col("size"))).alias("bytes"),
             F.max("copy").alias("copies")).first()
-        changed = changed_rows.groupBy("path").agg(F.min("copy").alias("copy"), F.max("modified").alias("modified"))
+        # One row per path; overlapping folders list a path once per folder.
+        changed = changed_rows.groupBy("path").agg(F.min_by(
+            F.struct(*[c for c in changed_rows.columns if c != "path"]), "copy").alias("r")).select("path", "r.*")
         removed = sync.removed_documents(snapshot, seen)
         n_removed = removed.count() if old else 0
         everything = n.unchanged == 0 and not n.copies
-        docs = fetch(None if everything else changed, everything).withColumn("copy", F.lit(0))
+        docs = fetch(changed, everything).withColumn("copy", F.lit(0))
 
         if old is None:
             version = self._rebase(row, gen, docs, n.bytes or 0)

@@ -23,7 +23,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def _disjoint_layers(roots: list[str]) -> list[list[str]]:
+def disjoint_layers(roots: list[str]) -> list[list[str]]:
     """Split roots into lists whose members do not contain each other. One list,
     and so one scan, unless folders overlap."""
     layers: list[list[str]] = []
@@ -50,7 +50,7 @@ def scan_files(spark: SparkSession, roots: list[str], missing_roots: str = "erro
     if missing_roots == "empty":
         roots = [r for r in roots if path_exists(spark, r)]
     out = None
-    for i, layer in enumerate(_disjoint_layers(roots)):
+    for i, layer in enumerate(disjoint_layers(roots)):
         files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
                  .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
                  .load(layer).select(*RAW_FILE.fieldNames(), F.lit(i).alias("copy")))
