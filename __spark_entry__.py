@@ -192,6 +192,11 @@ def ignore_rules(spark, sf_dir):
     return apply_ignore(docs(spark, sf_dir).select("path", "size"), compile_rules(lines))
 
 
+def mtime_millis(spark, sf_dir):
+    utc = F.to_timestamp(F.concat(F.col("ts").cast("string"), F.lit("Z")))
+    return _table(spark, sf_dir, "events").select("event_id", txt.mtime_millis(utc).alias("modified"))
+
+
 def classified(spark, sf_dir):
     listing = listed_docs(spark, sf_dir).select("path", "modified", "size")
     return sync.classify_changes(listing, sync.read_snapshot(stored_docs(spark, sf_dir)))
@@ -344,8 +349,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["filter_binary"] = lambda s, d: fs.filter_binary(raw_files(s, d)).select("path")
     q["decode_text"] = lambda s, d: raw_files(s, d).select("path", txt.decode_text("body").alias("content"))
     q["documents"] = lambda s, d: fs.documents(raw_files(s, d), max_file_bytes=50_000).select(*DOCUMENT_COLS)
-    utc = F.to_timestamp(F.concat(F.col("ts").cast("string"), F.lit("Z")))
-    q["mtime_millis"] = lambda s, d: _table(s, d, "events").select("event_id", txt.mtime_millis(utc).alias("modified"))
+    q["mtime_millis"] = mtime_millis
     q["build_full"] = build_full
     q["open_or_create"] = lambda s, d: collection(s, d).documents().select("path", "modified", "size")
     q["read_snapshot"] = lambda s, d: sync.read_snapshot(collection(s, d).documents())

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +26,11 @@ from ..operators.match import SearchTables, highlight_weights, matches, resolve
 from ..operators.postings import field_lengths, index_rows, text_rows
 from ..operators.rank import FieldStats, top_k
 from ..schema import DOCUMENT_COLS, HIT_COLS, KEY, TEXT_FIELDS
+from ..sources.files import path_exists
 
 DEFAULT_LIMIT = 50
 BUCKET_BYTES = 256 * 1024 * 1024  # text per bucket, while the bucket count allows
+SMALL_BUCKET_BYTES = 512 * 1024   # below MIN_BUCKETS, so that a small collection is still cut up
 MIN_BUCKETS, MAX_BUCKETS = 8, 65536
 # Largest number of rows that is ever sent to the driver or broadcast.
 MAX_HITS_BY_KEY = 1000
@@ -43,11 +46,13 @@ TABLES = {
 
 
 def power_of_two(n: float) -> int:
-    return 1 << max(0, int(n - 1).bit_length()) if n > 1 else 1
+    """The smallest power of two that is at least ``n``."""
+    return 1 << (ceil(n) - 1).bit_length() if n > 1 else 1
 
 
 def bucket_count(text_bytes: int) -> int:
-    return min(MAX_BUCKETS, max(MIN_BUCKETS, power_of_two(-(-text_bytes // BUCKET_BYTES))))
+    small = min(MIN_BUCKETS, power_of_two(text_bytes / SMALL_BUCKET_BYTES))
+    return min(MAX_BUCKETS, max(small, power_of_two(text_bytes / BUCKET_BYTES)))
 
 
 @dataclass(frozen=True)
@@ -84,8 +89,9 @@ class Collection:
                     f"INTO {self.version.buckets} BUCKETS LOCATION '{self.base_dir}/{kind}'")
         known = {r.partition for r in self.spark.sql(f"SHOW PARTITIONS {self._table('documents')}").collect()}
         if any(f"gen={g}" not in known for g in self.version.gens):
-            for kind in TABLES:
-                self.spark.sql(f"ALTER TABLE {self._table(kind)} RECOVER PARTITIONS")
+            for kind in TABLES:  # an empty build leaves no files behind
+                if path_exists(self.spark, f"{self.base_dir}/{kind}"):
+                    self.spark.sql(f"ALTER TABLE {self._table(kind)} RECOVER PARTITIONS")
 
     def unregister(self) -> None:
         for kind in TABLES:

@@ -14,7 +14,9 @@ def spark():
     session = (SparkSession.builder.master("local[*]").appName("tests")
                .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
                .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
-               .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+               .config("spark.ui.showConsoleProgress", "false")
+               .config("spark.sql.maxMetadataStringLength", "10000")
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     return session
 
