@@ -6,26 +6,27 @@ session and table version, in the shared folder ``spark.checkpoint.dir``."""
 
 from __future__ import annotations
 
+import os
+import sys
 import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 import oracle
 import termlake as tl
 from termlake.functions import text as txt
 from termlake.functions.fuzzy import edit_distance
-from termlake.functions.snippet import (best_window, snippet_fallback, snippet_highlight, snippet_text,
-                                        with_snippet)
+from termlake.functions.snippet import (best_window, snippet_fallback, snippet_highlight, snippet_text)
 from termlake.operators import postings as post
 from termlake.operators import sync
-from termlake.operators.match import SearchTables
-from termlake.operators.match import matches as match_rows
 from termlake.operators.rank import top_k
 from termlake.operators.scan import scan
 from termlake.plans import store as st
-from termlake.plans.collection import Collection, hit_schema
+from termlake.plans.collection import Collection
 from termlake.schema import DOCUMENT_COLS
 from termlake.sources import files as fs
 from termlake.sources.ignore import apply_ignore, compile_rules
@@ -101,14 +102,14 @@ def shared_root(spark: SparkSession) -> str:
     return f"{base}/termlake-{spark.sparkContext.applicationId}"
 
 
-def _version_of(spark: SparkSession, sf_dir: str) -> tuple:
-    """Changes whenever the documents table is written again."""
-    files = spark.read.format("binaryFile").load(f"{sf_dir}/documents.parquet")
+def _version_of(spark: SparkSession, sf_dir: str, table: str) -> tuple:
+    """Changes whenever the table is written again."""
+    files = spark.read.format("binaryFile").load(f"{sf_dir}/{table}.parquet")
     return tuple(files.agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime")).first())
 
 
-def _once(spark: SparkSession, sf_dir: str, kind: str, make: Callable):
-    key = (spark.sparkContext.applicationId, sf_dir, kind, _version_of(spark, sf_dir))
+def _once(spark: SparkSession, sf_dir: str, kind: str, make: Callable, table: str = "documents"):
+    key = (spark.sparkContext.applicationId, sf_dir, kind, _version_of(spark, sf_dir, table))
     if key not in _built:
         _built[key] = make(f"{shared_root(spark)}/store-{len(_built)}")
     return _built[key]
@@ -276,13 +277,19 @@ def search_many(spark, sf_dir):
 
 
 def conversation_search(spark, sf_dir):
-    """A search over another table, without a stored collection."""
-    c = _table(spark, sf_dir, "conversations").select(
+    """A search over another table: the turns of all conversations."""
+    turns = _table(spark, sf_dir, "conversations").select(
         F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("path"),
-        F.col("role").alias("filename"), F.lit("").alias("ext"), F.col("text").alias("content"))
-    rows = post.index_rows(c)
-    tables = SearchTables(rows, post.vocabulary(rows), post.stats_map(post.field_lengths(rows)))
-    found = match_rows(tables, tl.any_of(tl.all_of(tl.term("the"), tl.exclude(tl.term("user"))), tl.phrase("de la")))
+        F.col("role").alias("filename"), F.lit("").alias("ext"), F.col("text").alias("content"),
+        F.lit(0).cast("bigint").alias("modified"), F.octet_length("text").cast("bigint").alias("size"))
+
+    def make(root):
+        store = tl.CollectionStore(spark, root)
+        store.create("Talk", ["conversations"])
+        store.build_from("Talk", turns)
+        return store.open("Talk")
+    talk = _once(spark, sf_dir, "talk", make, "conversations")
+    found = talk.matches(tl.any_of(tl.all_of(tl.term("the"), tl.exclude(tl.term("user"))), tl.phrase("de la")))
     return found.select("path", F.round("score", 6).alias("score"))
 
 
@@ -383,7 +390,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["search_hits"] = _hits(HIT_SLICE, 50)
     q["hit_projection"] = _hits(tl.match_field("filename", "txt"), 100)
     q["search_beyond_key_limit"] = _hits(T("the"), 100_000, "snippet")
-    q["empty_query"] = lambda s, d: collection(s, d).search_text(None)
+    q["match_no_token"] = _matching(tl.all_of(T("und"), tl.exclude(T("!!!"))))
     q["search_many"] = search_many
     q["conversation_search"] = conversation_search
     q["page_scan"] = page_scan

@@ -280,7 +280,7 @@ def statements() -> dict[str, str]:
                  "match_wildcard", "match_regex", "match_fuzzy", "match_field", "any_of", "exclude",
                  "exclude_only", "score_combined"):
         o[f"scan_{name}"] = f"SELECT path FROM ({o[name]})"
-    o["score_bm25"] = scored(term_leaf("und"))
+    o["match_no_token"] = o["score_bm25"] = scored(term_leaf("und"))
     o["score_phrase"] = scored(words_leaf(["in", "the"]))
     o["score_const"] = combined((["g_und"], []), (["thet"], [])) + ALL_FOUND
     o["top_k"] = combined((["the"], [])) + TOP.format(n=50)

@@ -20,7 +20,7 @@ from ..sources.files import (MAX_FILE_BYTES, disjoint_layers, documents as read_
                              read_documents, scan_files)
 from ..sources.hidden import hidden_files, ignore_lines, read_hidden
 from ..sources.ignore import apply_ignore, compile_rules
-from .collection import Collection, Version, empty_version
+from .collection import MAX_BROADCAST_PATHS, Collection, Version, empty_version
 
 MANIFEST = ("name string, dir string, folders array<string>, doc_count bigint, last_built bigint, "
             "base bigint, previous_base bigint, buckets int, gens array<bigint>, n_tombstones bigint, "
@@ -275,6 +275,8 @@ class CollectionStore:
         # One row per path; overlapping folders list a path once per folder.
         changed = changed_rows.groupBy("path").agg(F.min_by(
             F.struct(*[c for c in changed_rows.columns if c != "path"]), "copy").alias("r")).select("path", "r.*")
+        if n.changed <= MAX_BROADCAST_PATHS:
+            changed = F.broadcast(changed)  # the texts are then picked without being shuffled
         removed = sync.removed_documents(snapshot, seen)
         n_removed = removed.count() if old else 0
         everything = n.unchanged == 0 and not n.copies

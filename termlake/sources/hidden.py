@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import RAW_FILE
-from .ignore import _parents
+from .ignore import directories
 
 # The task functions below travel with the job, so executors need no copy of
 # this package.
@@ -86,7 +86,7 @@ def hidden_files(spark: SparkSession, roots: list[str], listed: DataFrame) -> Da
     Every directory that holds a visible file is looked into once. Directories
     that hold none are found through their parents, and then walked whole."""
     tops = spark.createDataFrame([(_uri(r),) for r in roots], "path string")
-    above = listed.select(F.explode(_parents(F.col("path"))).alias("path"))
+    above = directories(listed).select(F.col("dir").alias("path"))
     inside = reduce(lambda a, b: a | b, (
         (F.col("path") == _uri(r)) | F.col("path").startswith(_uri(r) + "/") for r in roots), F.lit(False))
     known = above.filter(inside).unionByName(tops).distinct()
@@ -122,5 +122,5 @@ def ignore_lines(spark: SparkSession, listed: DataFrame, name: str = ".gitignore
                     continue
                 yield pd.DataFrame({"dir": uri, "ord": range(len(text.splitlines())), "line": text.splitlines()})
 
-    dirs = listed.select(F.explode(_parents(F.col("path"))).alias("dir")).distinct().filter(F.contains("dir", F.lit("/")))
+    dirs = directories(listed).select("dir").distinct().filter(F.contains("dir", F.lit("/")))
     return dirs.repartition("dir").mapInPandas(read, "dir string, ord int, line string")

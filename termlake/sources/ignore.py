@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_RULES = 100_000
+MAX_BROADCAST_ROWS = 100_000
+
+
+def _bounded_count(df: DataFrame) -> int:
+    return df.limit(MAX_BROADCAST_ROWS + 1).count()
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast if few rows; otherwise the join shuffles, and adaptive execution
+    splits a directory that holds very many files."""
+    return F.broadcast(df) if _bounded_count(df) <= MAX_BROADCAST_ROWS else df
 
 
 def _glob(c: Column) -> Column:
@@ -37,17 +47,29 @@ def compile_rules(lines: DataFrame) -> DataFrame:
         F.lit(r"\A"), F.when(bound, "").otherwise("(?:.*/)?"), pattern, F.lit(r"\z")).alias("regex"))
 
 
-def _parents(path: Column) -> Column:
+def parent_of(path) -> Column:
+    """The directory a path is in."""
+    return F.regexp_extract(path, r"\A(.*)/[^/]*\z", 1)
+
+
+def parents_of(path: Column) -> Column:
     """Every directory above a path, from the top ('') down."""
     segments = F.split(path, "/")
     return F.transform(F.sequence(F.lit(0), F.size(segments) - 1),
                        lambda n: F.array_join(F.slice(segments, F.lit(1), n), "/"))
 
 
+def directories(paths: DataFrame) -> DataFrame:
+    """(home, dir): each directory that holds a file, with itself and all above
+    it. Files are reduced to their directories before anything is multiplied."""
+    homes = paths.select(parent_of("path").alias("home")).distinct()
+    return homes.select("home", F.explode(F.array_append(parents_of(F.col("home")), F.col("home"))).alias("dir"))
+
+
 def _decide(entries: DataFrame, rules: DataFrame) -> DataFrame:
     """Entries (entry, is_dir) that the last rule bearing on them excludes. Rules
     of a deeper directory come later than those above it."""
-    dirs = entries.select("entry", "is_dir", F.explode(_parents(F.col("entry"))).alias("dir"))
+    dirs = entries.select("entry", "is_dir", F.explode(parents_of(F.col("entry"))).alias("dir"))
     within = F.when(F.col("dir") == "", F.col("entry")).otherwise(
         F.substring(F.col("entry"), F.char_length("dir") + 2, F.char_length("entry")))
     bears = (F.col("is_dir") | ~F.col("dirs_only")) & F.rlike(within, F.col("regex"))
@@ -61,16 +83,17 @@ def apply_ignore(files: DataFrame, rules: DataFrame) -> DataFrame:
     """The files that no rule excludes. A directory that is excluded takes all
     below it along: re-including a file inside has no effect. Directories are
     decided once each, not once per file."""
-    n = rules.limit(MAX_BROADCAST_RULES + 1).count()
+    n = _bounded_count(rules)
     if n == 0:
         return files
-    if n <= MAX_BROADCAST_RULES:
+    if n <= MAX_BROADCAST_ROWS:
         rules = F.broadcast(rules)
     paths = files.select("path").distinct()
-    above = paths.select("path", F.explode(_parents(F.col("path"))).alias("entry")).filter("entry <> ''")
-    dirs = above.select("entry").distinct().withColumn("is_dir", F.lit(True))
-    gone_dirs = _decide(dirs, rules)
-    gone = above.join(gone_dirs, "entry", "left_semi").select("path").unionByName(
-        _decide(paths.select(F.col("path").alias("entry"), F.lit(False).alias("is_dir")), rules)
-        .select(F.col("entry").alias("path")))
-    return files.join(gone, "path", "left_anti")
+    above = directories(paths).filter("dir <> ''")
+    dirs = above.select(F.col("dir").alias("entry"), F.lit(True).alias("is_dir")).distinct()
+    gone_dirs = _decide(dirs, rules).withColumnRenamed("entry", "dir")
+    gone_homes = above.join(gone_dirs, "dir", "left_semi").select("home").distinct()
+    gone_files = (_decide(paths.select(F.col("path").alias("entry"), F.lit(False).alias("is_dir")), rules)
+                  .withColumnRenamed("entry", "path"))
+    return (files.withColumn("home", parent_of("path")).join(_small(gone_homes), "home", "left_anti").drop("home")
+            .join(_small(gone_files), "path", "left_anti"))
