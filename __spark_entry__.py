@@ -264,15 +264,19 @@ def snippet_best(spark, sf_dir):
 def search_many(spark, sf_dir):
     """One query per source of ``documents``: its most frequent content word of
     at least six letters with "the", or without "der" any document on "und"."""
-    src = docs(spark, sf_dir).select(F.substring_index("path", "/", 1).alias("query_id"),
-                                     F.explode(txt.tokens("content")).alias("word"))
-    counted = (src.filter((F.char_length("word") >= 6) & (F.octet_length("word") < 40))
-               .groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("n")))
-    best = counted.groupBy("query_id").agg(F.max_by("word", F.struct("n", "word")).alias("word"))
-    group = lambda g, word, neg: best.select("query_id", F.lit(g).alias("grp"), word.alias("word"),
-                                             F.lit(neg).alias("negate"))
-    queries = (group(1, F.col("word"), False).unionByName(group(1, F.lit("the"), False))
-               .unionByName(group(2, F.lit("und"), False)).unionByName(group(2, F.lit("der"), True)))
+    def make(root):
+        src = docs(spark, sf_dir).select(F.substring_index("path", "/", 1).alias("query_id"),
+                                         F.explode(txt.tokens("content")).alias("word"))
+        counted = (src.filter((F.char_length("word") >= 6) & (F.octet_length("word") < 40))
+                   .groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("n")))
+        best = counted.groupBy("query_id").agg(F.max_by("word", F.struct("n", "word")).alias("word"))
+        word = lambda g, w, neg: F.struct(F.lit(g).alias("grp"), w.alias("word"), F.lit(neg).alias("negate"))
+        (best.select("query_id", F.inline(F.array(
+            word(1, F.col("word"), False), word(1, F.lit("the"), False),
+            word(2, F.lit("und"), False), word(2, F.lit("der"), True)))).write.parquet(root))
+        return root
+
+    queries = spark.read.parquet(_once(spark, sf_dir, "asked", make))
     return collection(spark, sf_dir).search_many(queries, 20)
 
 

@@ -12,7 +12,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 @pytest.fixture(scope="session")
 def spark():
     session = (SparkSession.builder.master("local[*]").appName("tests")
-               .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+               .config("spark.sql.shuffle.partitions", "4").config("spark.default.parallelism", "4").config("spark.ui.enabled", "false")
                .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.maxMetadataStringLength", "10000")
