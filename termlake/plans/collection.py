@@ -189,8 +189,8 @@ class Collection:
         """The best ``limit`` hits with their metadata and an excerpt.
 
         Top-k runs on keys and scores only. Its keys are few, so they go back as
-        literals, with which the scan of the texts opens their buckets alone; a
-        larger ``limit`` joins by bucket instead."""
+        literals, with which the scan of the texts opens their buckets alone. For
+        a larger ``limit`` they are broadcast, or joined bucket by bucket."""
         if limit < 1:
             raise ValueError("limit must be at least 1")
         res = resolve(self.vocab(), leaves_of(groups_of(condition)))
@@ -200,8 +200,9 @@ class Collection:
             rows = top.collect()
             top = self.spark.createDataFrame(rows, top.schema)
             docs = docs.filter(F.col("path").isin([r.path for r in rows]) if rows else F.lit(False))
+        if limit <= MAX_BROADCAST_PATHS:
             top = F.broadcast(top)
-        hits = with_snippet(docs.join(top, KEY), highlight_weights(condition, res))
+        hits = with_snippet(join_by_path(docs, top), highlight_weights(condition, res))
         return hit_projection(hits).orderBy(F.desc("score"), "path").limit(limit)
 
     def search_many(self, queries: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
@@ -215,6 +216,16 @@ class Collection:
         return self.search(condition, limit)
 
 
+def join_by_path(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Join on the full key. Only the path is an equality, so that the bucketed
+    side stays where it is; the rest of the key is compared as a range."""
+    keys = keys.select(*[F.col(k).alias(f"_{k}") for k in KEY], *[c for c in keys.columns if c not in KEY])
+    same = docs["path"] == keys["_path"]
+    for k in KEY[1:]:
+        same = same & (docs[k] >= keys[f"_{k}"]) & (docs[k] <= keys[f"_{k}"])
+    return docs.join(keys, same).drop(*[f"_{k}" for k in KEY])
+
+
 def hit_schema() -> str:
     return ("path string, filename string, ext string, size bigint, modified bigint, "
             "score double, snippet string")

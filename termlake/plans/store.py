@@ -206,6 +206,10 @@ class CollectionStore:
             for i, layer in enumerate(disjoint_layers([r for r in roots if path_exists(self.spark, r)])):
                 found = hidden_files(self.spark, layer, visible.filter(F.col("copy") == i)).withColumn("copy", F.lit(i))
                 unseen = found if unseen is None else unseen.unionByName(found)
+        if unseen is not None:
+            unseen.write.parquet(f"{work}/hidden")  # directories are listed once per build
+            unseen = self.spark.read.parquet(f"{work}/hidden")
+            unseen = None if unseen.isEmpty() else unseen
         if not ignore_files:
             return visible, unseen, False
         paths = visible.select("path")

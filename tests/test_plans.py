@@ -51,6 +51,18 @@ def test_joins_of_a_sync_stay_in_their_buckets(spark, sf_dir, monkeypatch, tmp_p
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         p = plan(coll.matches(tl.term("the")))
+        big = plan(coll.search(tl.term("the"), 5000))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in p and "Exchange" not in p, p
+    # the texts of many hits are joined in their buckets too: only the keys move
+    texts = next(l for l in big.splitlines() if "content" in l and "FileScan" in l)
+    above = big.splitlines()[:big.splitlines().index(texts)]
+    depth = lambda l: len(l) - len(l.lstrip(" :+-*()0123456789"))
+    path_up, level = [], depth(texts)
+    for l in reversed(above):
+        if depth(l) < level:
+            path_up.append(l)
+            level = depth(l)
+    below_join = path_up[:next(i for i, l in enumerate(path_up) if "Join" in l)]
+    assert not any("Exchange" in l for l in below_join), big
