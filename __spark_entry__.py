@@ -31,6 +31,12 @@ from termlake.schema import DOCUMENT_COLS
 from termlake.sources import files as fs
 from termlake.sources.ignore import apply_ignore, compile_rules
 
+try:  # the corpus operators are a part that can be left out
+    import corpus_pipeline
+    from termlake.llm import queries as llm
+except ImportError:
+    llm = corpus_pipeline = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -417,8 +423,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["build_collection"] = build_collection
     q["create_collection"] = lambda s, d: synced(s, d)[0].list().select("name", F.array_join("folders", ",").alias("folders"))
     q["load_collection"] = lambda s, d: collection(s, d).postings().select("term", "field", "path", "tf", "dl")
+    if llm:
+        q |= llm.queries() | {"pipeline": corpus_pipeline.run}
     return q
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.statements()
+    return oracle.statements() | (llm.oracle_sql() if llm else {})
