@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality
+from . import exact_dedup, mixing, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,13 +25,18 @@ def op8_exact_dedup(spark, sf_dir):
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op9_simhash_near_dedup(spark, sf_dir):
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_mixing(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", F.array_min("positions").alias("first_position"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op8_exact_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op3_quality_rules, op8_exact_dedup, op9_simhash_near_dedup, op10_mixing)}
 
 
 _SPACE = r"[\x20\x09-\x0D]"
