@@ -8,18 +8,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality, simhash
+from . import exact_dedup, langid, mixing, packing, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = langid.train(docs.filter(~held_out))
+    return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality.quality(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_packing(spark, sf_dir):
+    return packing.pack(_table(spark, sf_dir, "documents"), packing.public_tokenizer())
+
+
 def op8_exact_dedup(spark, sf_dir):
     found = exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -36,7 +47,7 @@ def op10_mixing(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op8_exact_dedup, op9_simhash_near_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op3_quality_rules, op5_packing, op8_exact_dedup, op9_simhash_near_dedup, op10_mixing)}
 
 
 _SPACE = r"[\x20\x09-\x0D]"
