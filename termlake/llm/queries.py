@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, packing, quality, simhash
+from . import exact_dedup, langid, mixing, packing, quality, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), packing.public_tokenizer())
 
 
+def op7_substring_dedup(spark, sf_dir):
+    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_exact_dedup(spark, sf_dir):
     found = exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -47,7 +51,7 @@ def op10_mixing(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_quality_rules, op5_packing, op8_exact_dedup, op9_simhash_near_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op3_quality_rules, op5_packing, op7_substring_dedup, op8_exact_dedup, op9_simhash_near_dedup, op10_mixing)}
 
 
 _SPACE = r"[\x20\x09-\x0D]"
