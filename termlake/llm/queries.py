@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, langid, mixing, packing, quality, simhash, substring_dedup
+from . import exact_dedup, html_extract, langid, lm_score, mixing, packing, quality, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_lm_scoring(spark, sf_dir):
+    return lm_score.score_against_labels(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), packing.public_tokenizer())
 
@@ -55,7 +59,7 @@ def op10_mixing(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_html_extraction, op3_quality_rules, op5_packing, op7_substring_dedup, op8_exact_dedup, op9_simhash_near_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_html_extraction, op3_quality_rules, op4_lm_scoring, op5_packing, op7_substring_dedup, op8_exact_dedup, op9_simhash_near_dedup, op10_mixing)}
 
 
 _SPACE = r"[\x20\x09-\x0D]"
