@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, langid, lm_score, mixing, packing, quality, simhash, substring_dedup
+from . import exact_dedup, html_extract, langid, license_scan, lm_score, mixing, packing, quality, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op5_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), packing.public_tokenizer())
 
 
+def op6_license_scan(spark, sf_dir):
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark, sf_dir):
     return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -59,7 +63,7 @@ def op10_mixing(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_html_extraction, op3_quality_rules, op4_lm_scoring, op5_packing, op7_substring_dedup, op8_exact_dedup, op9_simhash_near_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_html_extraction, op3_quality_rules, op4_lm_scoring, op5_packing, op6_license_scan, op7_substring_dedup, op8_exact_dedup, op9_simhash_near_dedup, op10_mixing)}
 
 
 _SPACE = r"[\x20\x09-\x0D]"
