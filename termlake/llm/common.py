@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,15 +56,16 @@ def join_lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total:
             .unionByName(left.join(few, key, "left_anti").join(rest, key)))
 
 
-def numbered(df: DataFrame, order: list, name: str, parts: int = 32) -> DataFrame:
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     """``df`` with its dense rank from 0 in ``name`` under ``order``, by range
-    partitions: only the ``parts`` partition sizes reach the driver."""
-    ranged = written(df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-                     .withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    sizes = {r["part"]: r["n"] for r in ranged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    start, before = F.lit(0).cast("long"), 0
-    for k in sorted(sizes):
-        start = F.when(part == k, F.lit(before).cast("long")).otherwise(start)
-        before += sizes[k]
-    return ranged.withColumn(name, start + row).drop("_at")
+    partitions, of which only the sizes reach the driver."""
+    ranged = written(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                     .withColumn("__llm_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__llm_at", 33)
+    sizes = sorted(tuple(r) for r in ranged.groupBy(part).agg(F.count(F.lit(1))).collect())
+    start = list(accumulate((n for _, n in sizes), initial=0))
+    before = [(k, at) for (k, _), at in zip(sizes, start, strict=False)] or [(0, 0)]
+    offsets = df.sparkSession.createDataFrame(before, "__llm_part long, __llm_before long")
+    row = F.col("__llm_at").bitwiseAND((1 << 33) - 1)
+    return (ranged.withColumn("__llm_part", part).join(F.broadcast(offsets), "__llm_part")
+            .withColumn(name, F.col("__llm_before") + row).drop("__llm_part", "__llm_before", "__llm_at"))

@@ -191,11 +191,11 @@ def exact_dedup(docs: DataFrame, is_history=None, id_col: str = "doc_id", text_c
 def keep_first(docs: DataFrame, **columns) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     kept = exact_dedup(docs, **columns).filter("kept").select(
-        F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("n_chars").alias("_chars"))
+        F.col("doc_id").alias("__llm_id"), F.col("digest").alias("__llm_digest"), F.col("n_chars").alias("__llm_chars"))
     id_col, text_col = columns.get("id_col", "doc_id"), columns.get("text_col", "text")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    own = docs.withColumns({"_key": digest(text), "_length": F.char_length(text).cast("long")})
-    same = ((F.col("_key") == F.col("_digest")) & (F.col("_length") == F.col("_chars"))
-            & F.col(f"`{id_col}`").eqNullSafe(F.col("_id")))
-    return own.join(kept, same, "left_semi").dropDuplicates(["_key", "_length"]).select(
+    own = docs.withColumns({"__llm_key": digest(text), "__llm_length": F.char_length(text).cast("long")})
+    same = ((F.col("__llm_key") == F.col("__llm_digest")) & (F.col("__llm_length") == F.col("__llm_chars"))
+            & F.col(f"`{id_col}`").eqNullSafe(F.col("__llm_id")))
+    return own.join(kept, same, "left_semi").dropDuplicates(["__llm_key", "__llm_length"]).select(
         *[F.col(f"`{c}`") for c in docs.columns])

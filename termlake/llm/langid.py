@@ -130,18 +130,24 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, max_languages: int =
     return fit(languages, labels, present, landmarks)
 
 
-def predict(docs: DataFrame, model: Classifier | None, text_col: str = "text", sharpness: float = SHARPNESS) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (a softmax of the scores) at the end;
-    columns of these names in ``docs`` are replaced. Only the text is looked at."""
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)],
-                        F.col(f"`{text_col}`").cast("string").alias("text"))
+def predict(docs: DataFrame, model: Classifier | None, text_col: str = "text", keep_text: bool = True,
+            sharpness: float = SHARPNESS, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs``, without its text unless ``keep_text``, with the language and its score
+    (a softmax of the scores) as the columns ``out``; columns of ``docs`` that have
+    these names are replaced. Only the text is looked at."""
+    keep = [c for c in docs.columns if c not in out and (keep_text or c != text_col)]
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
+    kept = len(keep)
+    text_at = keep.index(text_col) if text_col in keep else kept
+    if text_at == kept:
+        inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)],
+                            F.col(f"`{text_col}`").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model and (model.languages, model.folded()))  # slots x languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(text_at)
             lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             for at in range(0, len(texts), BLOCK_ROWS):
                 block = [(i, x) for i in range(at, min(at + BLOCK_ROWS, len(texts)))
@@ -153,9 +159,10 @@ def predict(docs: DataFrame, model: Classifier | None, text_col: str = "text", s
                     best = raw.argmax(axis=1)
                     for (i, _), k, p in zip(block, best, 1 / power.sum(axis=1), strict=True):
                         lang[i], score[i] = languages[k], p
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score)],
-                                             names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(lang, pa.string()), pa.array(score)],
+                                             names=[*batch.schema.names[:kept], "lang_pred", "score"])
 
-    schema = inner.drop("text").schema.add("lang_pred", "string").add("score", "double")
-    out = inner.mapInArrow(run, schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+    schema = inner.select(*inner.columns[:kept]).schema.add("lang_pred", "string").add("score", "double")
+    found = inner.mapInArrow(run, schema)
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("lang_pred").alias(out[0]),
+                        F.col("score").alias(out[1]))

@@ -19,7 +19,7 @@ def op1_language_id(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     model = langid.train(docs.filter(~held_out))
-    return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+    return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep_text=False)
 
 
 def op2_html_extraction(spark, sf_dir):

@@ -258,8 +258,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **parameters) -> DataFrame:
     """The rows of ``docs`` that stay, one of each component, with all columns."""
     kept = near_duplicates(docs, id_col=id_col, **parameters).filter("kept").select(
-        F.col("doc_id").alias("_id"), F.col("row_key").alias("_row"))
-    own = docs.withColumn("_key", row_key(docs))
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row"))
-    return own.join(kept, same, "left_semi").dropDuplicates([id_col, "_key"]).select(
+        F.col("doc_id").alias("__llm_id"), F.col("row_key").alias("__llm_row"))
+    own = docs.withColumn("__llm_key", row_key(docs))
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__llm_id")) & (F.col("__llm_key") == F.col("__llm_row"))
+    return own.join(kept, same, "left_semi").dropDuplicates([id_col, "__llm_key"]).select(
         *[F.col(f"`{c}`") for c in docs.columns])
