@@ -76,12 +76,12 @@ def listed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus as undecoded files: a third UTF-16, a third Latin-1 where it
-    can say the text, and a NUL byte after every fifth text."""
+    """The corpus as undecoded files: a third UTF-16, a third windows-1252 where
+    Latin-1 can say the text, with quotes and a euro sign at its end, and a NUL byte after every fifth text."""
     c, utf8 = F.col("content"), F.encode("content", "UTF-8")
     latin = c.rlike(r"\A[\x00-\xff]*\z")
     body = (F.when(F.col("doc_id") % 3 == 1, F.encode("content", "UTF-16"))
-            .when((F.col("doc_id") % 3 == 2) & latin, F.encode(F.when(latin, c).otherwise(""), "ISO-8859-1"))
+            .when((F.col("doc_id") % 3 == 2) & latin, F.concat(F.encode(F.when(latin, c).otherwise(""), "ISO-8859-1"), F.lit(b" \x93\x80\x94")))
             .otherwise(utf8))
     return corpus(spark, sf_dir).select(
         "path", F.timestamp_millis("modified").alias("modificationTime"),
@@ -190,7 +190,7 @@ def _manifest(spark, sf_dir) -> DataFrame:
 # --- queries that need more than a line --------------------------------------
 
 IGNORE_RULES = [("", "src1/"), ("", "*.log"), ("", "!src2/*.log"), ("src3", "/1*.txt"), ("src3", "!*3.txt"),
-                ("", "src4/**/*2.md"), ("src5", "[0-4]*.txt")]
+                ("", "src4/**/*2.md"), ("src5", "[0-4]*.txt"), ("src6", r"1\*.txt"), ("src7", r"\2*.txt")]
 
 
 def ignore_rules(spark, sf_dir):
@@ -251,8 +251,11 @@ def field_stats(spark, sf_dir):
 
 
 def vocab_distance(spark, sf_dir):
+    """Terms within the distance that a query's digits stand for."""
     v = collection(spark, sf_dir).vocabulary().filter("field = 'content'")
-    return v.select("term", edit_distance(F.col("term"), "thier").alias("distance"))
+    distance = edit_distance(F.col("term"), "thier")
+    return v.select("term", distance.alias("distance"), *[
+        (distance <= txt.fuzzy_distance(d)).alias(f"within_{d or 'none'}") for d in ("", "0", "2", "9", "300")])
 
 
 def fuzzy_expansion(spark, sf_dir):
@@ -267,13 +270,38 @@ def snippet_best(spark, sf_dir):
         F.col("w.end").cast("bigint").alias("to_char"), F.round("w.weight", 6).alias("weight"))
 
 
+def by_language(spark: SparkSession, sf_dir: str) -> tl.CollectionStore:
+    """A store of three collections, of which one is built and one dropped."""
+    def make(root):
+        store = tl.CollectionStore(spark, root)
+        for lang in ("en", "de", "fr"):
+            store.create(f"Docs {lang}", [lang])
+        store.build_from("Docs en", corpus(spark, sf_dir).filter("lang = 'en'").select(*DOCUMENT_COLS))
+        store.drop("Docs fr")
+        return store
+    return _once(spark, sf_dir, "by-language", make)
+
+
+def get_collection(spark, sf_dir):
+    row = by_language(spark, sf_dir).get("Docs en")
+    return spark.createDataFrame([(row.name, row.dir, ",".join(row.folders), row.doc_count)],
+                                 "name string, dir string, folders string, doc_count bigint")
+
+
+def unique_dir(spark, sf_dir):
+    """Names of which many have the same slug, and some one with a number."""
+    number = F.when(F.col("p_partkey") % 7 == 0, " 2").when(F.col("p_partkey") % 11 == 0, "-3").otherwise("")
+    return st.unique_dirs(_table(spark, sf_dir, "part").select(
+        F.concat(F.substring_index("p_name", " ", 1), number).alias("name"), F.col("p_partkey").alias("ord")))
+
+
 def search_many(spark, sf_dir):
     """One query per source of ``documents``: its most frequent content word of
     at least six letters with "the", or without "der" any document on "und"."""
     def make(root):
         src = docs(spark, sf_dir).select(F.substring_index("path", "/", 1).alias("query_id"),
                                          F.explode(txt.tokens("content")).alias("word"))
-        counted = (src.filter((F.char_length("word") >= 6) & (F.octet_length("word") < 40))
+        counted = (src.filter(F.char_length("word") >= 6)
                    .groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("n")))
         best = counted.groupBy("query_id").agg(F.max_by("word", F.struct("n", "word")).alias("word"))
         word = lambda g, w, neg: F.struct(F.lit(g).alias("grp"), w.alias("word"), F.lit(neg).alias("negate"))
@@ -401,6 +429,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["hit_projection"] = _hits(tl.match_field("filename", "txt"), 100)
     q["search_beyond_key_limit"] = _hits(T("the"), 100_000, "snippet")
     q["match_no_token"] = _matching(tl.all_of(T("und"), tl.exclude(T("!!!"))))
+    q["empty_query"] = lambda s, d: collection(s, d).search_text(None)
     q["search_many"] = search_many
     q["conversation_search"] = conversation_search
     q["page_scan"] = page_scan
@@ -411,15 +440,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["snippet_fallback"] = lambda s, d: docs(s, d).select("path", snippet_fallback("content").alias("snippet"))
     q["snippet_text"] = lambda s, d: docs(s, d).select(
         "path", snippet_text(snippet_highlight("content", ["the"])).alias("line"))
-    q["slugify"] = lambda s, d: docs(s, d).select("path", txt.slugify(F.substring("content", 1, 60)).alias("slug"))
+    q["slugify"] = lambda s, d: docs(s, d).select("path", txt.slugify("content").alias("slug"))
     q["glob_to_regex"] = fuzzy_expansion
     q["fuzzy_distance"] = vocab_distance
     # manifest
     q["list_collections"] = _manifest
-    q["get_collection"] = lambda s, d: _manifest(s, d).filter(F.col("name") == "Src1 EN")
-    q["drop_collection"] = lambda s, d: _manifest(s, d).filter(F.col("name") != "Src1 EN").select("name")
-    q["unique_dir"] = lambda s, d: st.unique_dirs(
-        _table(s, d, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("ord")))
+    q["get_collection"] = get_collection
+    q["drop_collection"] = lambda s, d: by_language(s, d).list().select("name")
+    q["unique_dir"] = unique_dir
     q["build_collection"] = build_collection
     q["create_collection"] = lambda s, d: synced(s, d)[0].list().select("name", F.array_join("folders", ",").alias("folders"))
     q["load_collection"] = lambda s, d: collection(s, d).postings().select("term", "field", "path", "tf", "dl")

@@ -20,7 +20,7 @@ toks AS (
 
 INDEX = """,
 occ AS (SELECT path, field, unnest(ts) AS term, generate_subscripts(ts, 1) - 1 AS pos FROM toks),
-kept AS (SELECT * FROM occ WHERE strlen(term) < 40),
+kept AS (SELECT * FROM occ),
 dls AS (SELECT t.path, t.field, count(k.term) AS dl
         FROM toks t LEFT JOIN kept k ON t.path = k.path AND t.field = k.field GROUP BY ALL),
 stats AS (SELECT field, count(*) AS n, avg(dl) AS avgdl FROM dls GROUP BY field),
@@ -179,7 +179,7 @@ now AS (SELECT name, dir, folders, CASE WHEN lang = 'fr' THEN 0 ELSE n END AS do
 
 MANY = SEARCH + """,
 src AS (SELECT split_part(path, '/', 1) AS query_id, unnest(ts) AS word FROM toks WHERE field = 'content'),
-cnt AS (SELECT query_id, word, count(*) AS n FROM src WHERE length(word) >= 6 AND strlen(word) < 40 GROUP BY ALL),
+cnt AS (SELECT query_id, word, count(*) AS n FROM src WHERE length(word) >= 6 GROUP BY ALL),
 best AS (SELECT query_id, word FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, word DESC) AS r
          FROM cnt) WHERE r = 1),
 ts2 AS (SELECT path, term, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS s
@@ -207,6 +207,7 @@ WHERE source <> 'src1'
   AND NOT (ext = 'log' AND source <> 'src2')
   AND NOT (source = 'src3' AND filename LIKE '1%.txt' AND filename NOT LIKE '%3.txt')
   AND NOT (source = 'src4' AND filename LIKE '%2.md')
+  AND NOT (source = 'src7' AND filename LIKE '2%.txt')
   AND NOT (source = 'src5' AND regexp_matches(filename, '^[0-4][^/]*\\.txt$'))"""
 
 
@@ -219,7 +220,9 @@ def statements() -> dict[str, str]:
     o["filter_ext"] = f"WITH {CORPUS} SELECT path, ext FROM v WHERE ext <> 'bin'"
     o["filter_size"] = f"WITH {CORPUS} SELECT path, size AS length FROM v WHERE size <= 2000"
     o["filter_binary"] = f"WITH {CORPUS} SELECT path FROM v WHERE NOT (doc_id % 5 = 0 AND size < 8192)"
-    o["decode_text"] = f"WITH {CORPUS} SELECT path, content FROM v"
+    # The second third is windows-1252 where all of a text is Latin-1, and ends with bytes that only the former has.
+    latin = r"doc_id % 3 = 2 AND regexp_full_match(content, '[\x{0}-\x{ff}]*', 's')"
+    o["decode_text"] = f"WITH {CORPUS} SELECT path, CASE WHEN {latin} THEN content || ' “€”' ELSE content END AS content FROM v"
     o["documents"] = (f"WITH {CORPUS} SELECT path, filename, ext, CASE WHEN doc_id % 5 = 0 THEN content || chr(0) "
                       "ELSE content END AS content, modified, size FROM v WHERE ext <> 'bin' AND size <= 50000 "
                       "AND NOT (doc_id % 5 = 0 AND size < 8192)")
@@ -240,7 +243,7 @@ def statements() -> dict[str, str]:
         f"WITH {SYNC}, t AS (SELECT path, 'content' AS field, content AS x FROM seen WHERE status <> 'ineligible' UNION ALL "
         "SELECT path, 'filename', split_part(path, '/', -1) FROM seen WHERE status <> 'ineligible'), "
         f"d AS (SELECT DISTINCT path, field, unnest(regexp_extract_all(lower(x), '{TOKEN}')) AS term FROM t) "
-        "SELECT term, field, count(*) AS df FROM d WHERE strlen(term) < 40 GROUP BY ALL")
+        "SELECT term, field, count(*) AS df FROM d GROUP BY ALL")
     o["build_stats"] = (
         f"WITH {SYNC} SELECT count(*) FILTER (status = 'changed') AS indexed, "
         "count(*) FILTER (status = 'ineligible') AS skipped, count(*) AS files_seen, "
@@ -311,21 +314,36 @@ def statements() -> dict[str, str]:
     o["snippet_fallback"] = f"WITH {CORPUS} SELECT path, {fallback('content')} AS snippet FROM v"
     o["snippet_text"] = f"WITH {CORPUS} SELECT path, translate(content, chr(10) || chr(13), '  ') AS line FROM v"
     o["slugify"] = (
-        f"WITH {CORPUS} SELECT path, coalesce(nullif(trim(lower(regexp_replace(substring(content, 1, 60), "
+        f"WITH {CORPUS} SELECT path, coalesce(nullif(trim(lower(regexp_replace(content, "
         "'[^A-Za-z0-9]+', '-', 'g')), '-'), ''), 'index') AS slug FROM v")
     o["glob_to_regex"] = (f"WITH {SEARCH} SELECT term, df FROM vocab WHERE field = 'content' "
                           "AND regexp_full_match(term, 't.e.*n')")
-    o["fuzzy_distance"] = (f"WITH {SEARCH} SELECT term, least({DISTANCE('thier')}, 3) AS distance "
-                           "FROM vocab WHERE field = 'content'")
+    within = ", ".join(f"distance <= {most} AS within_{d}" for d, most in
+                       (("none", 1), ("0", 1), ("2", 2), ("9", 2), ("300", 1)))
+    o["fuzzy_distance"] = (f"WITH {SEARCH}, d AS (SELECT term, least({DISTANCE('thier')}, 3) AS distance "
+                           f"FROM vocab WHERE field = 'content') SELECT term, distance, {within} FROM d")
 
     o["list_collections"] = f"WITH {MANIFEST} SELECT name, dir, folders, doc_count, last_built FROM now"
-    o["get_collection"] = o["list_collections"] + " WHERE name = 'Src1 EN'"
-    o["drop_collection"] = f"WITH {MANIFEST} SELECT name FROM now WHERE name <> 'Src1 EN'"
-    slug = "regexp_replace(p_name, '[^A-Za-z0-9]+', '-', 'g')"
+    o["get_collection"] = ("SELECT 'Docs en' AS name, 'docs-en' AS dir, 'en' AS folders, count(*) AS doc_count "
+                           "FROM documents WHERE lang = 'en'")
+    o["drop_collection"] = "SELECT DISTINCT 'Docs ' || lang AS name FROM documents WHERE lang IN ('en', 'de')"
+    o["empty_query"] = ("SELECT text AS path, text AS filename, text AS ext, n_chars AS size, n_chars AS modified, "
+                        "0.0::DOUBLE AS score, text AS snippet FROM documents WHERE false")
+    # A fold over the names of a stem: the state is the list of directories given so far.
+    taken = "list_contains(a.given, {})"
+    free = (f"CASE WHEN NOT {taken.format('x.slug')} THEN x.slug ELSE x.slug || '-' || list_filter("
+            f"range(2, len(a.given) + 3), lambda n: NOT {taken.format("x.slug || '-' || n")})[1] END")
     o["unique_dir"] = (
-        f"WITH s AS (SELECT p_name AS name, p_partkey AS ord, coalesce(nullif(trim(lower({slug}), '-'), ''), 'index') "
-        "AS slug FROM part) SELECT name, ord, CASE WHEN n = 1 THEN slug ELSE slug || '-' || n END AS dir FROM "
-        "(SELECT *, row_number() OVER (PARTITION BY slug ORDER BY ord) AS n FROM s)")
+        "WITH t AS (SELECT split_part(p_name, ' ', 1) || CASE WHEN p_partkey % 7 = 0 THEN ' 2' WHEN p_partkey % 11 = 0 "
+        "THEN '-3' ELSE '' END AS name, p_partkey AS ord FROM part), "
+        "s AS (SELECT name, ord, coalesce(nullif(trim(lower(regexp_replace(name, '[^A-Za-z0-9]+', '-', 'g')), '-'), ''), "
+        "'index') AS slug FROM t), "
+        "g AS (SELECT list(name ORDER BY ord) AS names, list(ord ORDER BY ord) AS ords, "
+        "list({'slug': slug, 'given': []::VARCHAR[]} ORDER BY ord) AS l FROM s "
+        "GROUP BY regexp_replace(slug, '(-[0-9]+)+$', '')), "
+        "f AS (SELECT names, ords, list_reduce(l, lambda a, x: {'slug': x.slug, 'given': list_append(a.given, "
+        f"{free})}}, {{'slug': '', 'given': []::VARCHAR[]}}) AS r FROM g) "
+        "SELECT unnest(names) AS name, unnest(ords) AS ord, unnest(r.given) AS dir FROM f")
     o["build_collection"] = (f"WITH {SYNC} SELECT 'Synced' AS name, 'synced' AS dir, count(*) AS doc_count "
                              "FROM seen WHERE status <> 'ineligible'")
     o["create_collection"] = "SELECT DISTINCT 'Synced' AS name, 'documents' AS folders FROM documents"

@@ -3,6 +3,7 @@ expressions, so they stay on the JVM and inside the scan's stage."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from itertools import groupby
 
@@ -10,10 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # A token is a maximal run of letters and digits, lower-cased.
-# Tokens of 40 UTF-8 bytes or more are not searchable, but keep their position.
 TOKEN_BREAK = r"[^\p{L}\p{N}]+"
 PIECES = r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"
-MAX_TOKEN_BYTES = 40
 
 
 def _col(c) -> Column:
@@ -28,11 +27,11 @@ def tokens(text) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(_col(text), F.lit(""))), TOKEN_BREAK), "")
 
 
-def query_tokens(text: str, max_bytes: int = MAX_TOKEN_BYTES) -> list[tuple[int, str]]:
+def query_tokens(text: str) -> list[tuple[int, str]]:
     """(offset, token) of a condition's own words, cut as the documents are."""
     runs = ("".join(g) for is_tok, g in groupby(
         text.lower(), key=lambda ch: unicodedata.category(ch)[0] in "LN") if is_tok)
-    return [(i, t) for i, t in enumerate(runs) if len(t.encode()) < max_bytes]
+    return list(enumerate(runs))
 
 
 def filename_of(path) -> Column:
@@ -58,12 +57,26 @@ def slugify(name) -> Column:
 
 # --- decoding ---------------------------------------------------------------
 
-BINARY_SNIFF_BYTES = 8192  # fixed value
+SNIFFED = 8192  # fixed value: bytes that are looked at for a NUL
 
 
 def looks_binary(raw) -> Column:
     """A NUL byte among the first 8192 bytes."""
-    return F.contains(F.substring(_col(raw), 1, BINARY_SNIFF_BYTES), F.lit(b"\x00"))
+    return F.contains(F.substring(_col(raw), 1, SNIFFED), F.lit(b"\x00"))
+
+
+def _windows_1252() -> tuple[str, str]:
+    """Latin-1's control characters that windows-1252 uses for text, and that text."""
+    pairs = []
+    for byte in range(0x80, 0xA0):
+        try:
+            pairs.append((chr(byte), bytes([byte]).decode("cp1252")))
+        except UnicodeDecodeError:  # not assigned: stays the control character
+            continue
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+WINDOWS_1252 = _windows_1252()
 
 
 def _utf16_units(raw: Column, big_endian: bool) -> Column:
@@ -74,7 +87,8 @@ def _utf16_units(raw: Column, big_endian: bool) -> Column:
 
 def decode_text(raw) -> Column:
     """Bytes to text without ever failing: byte-order marks first, then UTF-8
-    where the bytes are valid UTF-8, else Latin-1, which accepts any byte.
+    where the bytes are valid UTF-8, else windows-1252, which accepts any byte
+    (those that it leaves open are control characters, as in Latin-1).
 
     Spark's ``decode`` raises on malformed input, so each branch is guarded."""
     raw = _col(raw)
@@ -89,19 +103,16 @@ def decode_text(raw) -> Column:
         .when(le & whole_units & ~_utf16_units(raw, False).rlike(lone_surrogate),
               F.decode(raw, "UTF-16"))
         .when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
-        .otherwise(F.decode(raw, "ISO-8859-1"))
+        .otherwise(F.translate(F.decode(raw, "ISO-8859-1"), *WINDOWS_1252))
     )
 
 
 # --- patterns ---------------------------------------------------------------
 
-_REGEX_SPECIAL = set(".+()|[]{}^$\\")
-
-
 def glob_to_regex(glob: str) -> str:
     """``*`` is any run of characters, ``?`` exactly one, all else literal."""
-    wild = {"*": ".*", "?": "."}
-    return "".join(wild.get(ch, "\\" + ch if ch in _REGEX_SPECIAL else ch) for ch in glob)
+    parts = re.split(r"([*?])", glob)  # literal text and wildcards in turn
+    return "".join(re.escape(p) if i % 2 == 0 else ".*" if p == "*" else "." for i, p in enumerate(parts))
 
 
 def fuzzy_distance(digits: str) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import MAX_TOKEN_BYTES, tokens
+from ..functions.text import tokens
 from ..schema import KEY, TEXT_FIELDS
 from .rank import FieldStats
 
@@ -18,13 +18,19 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs
 
 
-def tokenize(docs: DataFrame, field: str = "content", max_token_bytes: int = MAX_TOKEN_BYTES) -> DataFrame:
-    """One row per token: (path, pos, term). Over-long tokens leave a gap."""
+def _short(term, max_token_bytes: int | None):
+    """Whether a token is searchable: every one, unless the caller sets a limit."""
+    return F.lit(True) if max_token_bytes is None else F.octet_length(term) < max_token_bytes
+
+
+def tokenize(docs: DataFrame, field: str = "content", max_token_bytes: int | None = None) -> DataFrame:
+    """One row per token: (path, pos, term). Tokens of ``max_token_bytes`` UTF-8
+    bytes or more, if a limit is set, leave a gap."""
     return (docs.select("path", F.posexplode(tokens(F.col(field))).alias("pos", "term"))
-            .filter(F.octet_length("term") < max_token_bytes))
+            .filter(_short("term", max_token_bytes)))
 
 
-def index_rows(docs: DataFrame, max_token_bytes: int = MAX_TOKEN_BYTES) -> DataFrame:
+def index_rows(docs: DataFrame, max_token_bytes: int | None = None) -> DataFrame:
     """(path, copy, gen, term, field, tf, positions, dl), one row per term, field
     and document, plus one row per text field with an empty term that carries the
     field's length. Those length rows stand for "every document" in a search and
@@ -33,7 +39,7 @@ def index_rows(docs: DataFrame, max_token_bytes: int = MAX_TOKEN_BYTES) -> DataF
     All rows of a document come from its own text, so on documents that are
     bucketed or partitioned by path this plans no exchange."""
     docs = with_key(docs)
-    kept = lambda toks: F.size(F.filter(toks, lambda t: F.octet_length(t) < max_token_bytes))
+    kept = lambda toks: F.size(toks if max_token_bytes is None else F.filter(toks, lambda t: _short(t, max_token_bytes)))
     per_field = docs.select(*KEY, F.inline(F.array(
         *[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("toks")) for f in TEXT_FIELDS],
         F.struct(F.lit("ext").alias("field"), F.array(F.col("ext")).alias("toks")),
@@ -43,7 +49,7 @@ def index_rows(docs: DataFrame, max_token_bytes: int = MAX_TOKEN_BYTES) -> DataF
     rows = counted.select(*KEY, "field", "dl", F.posexplode(
         F.when(verbatim, F.col("toks")).otherwise(F.concat("toks", F.array(F.lit(""))))
     ).alias("pos", "term"))
-    searchable = rows.filter(verbatim | (F.octet_length("term") < max_token_bytes))
+    searchable = rows.filter(verbatim | _short("term", max_token_bytes))
     is_length = (F.col("term") == "") & ~verbatim
     return (searchable.groupBy(*KEY, "term", "field")
             .agg(F.count(F.lit(1)).cast("int").alias("tf"),
@@ -55,7 +61,7 @@ def index_rows(docs: DataFrame, max_token_bytes: int = MAX_TOKEN_BYTES) -> DataF
             .select(*KEY, "term", "field", "tf", "positions", "dl"))
 
 
-def postings(docs: DataFrame, max_token_bytes: int = MAX_TOKEN_BYTES) -> DataFrame:
+def postings(docs: DataFrame, max_token_bytes: int | None = None) -> DataFrame:
     """(term, field, path, tf, positions, dl) of the tokenized fields."""
     return text_rows(index_rows(docs, max_token_bytes)).select(
         "term", "field", "path", "tf", "positions", "dl")

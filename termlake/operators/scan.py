@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import MAX_TOKEN_BYTES, tokens
+from ..functions.text import tokens
 from ..schema import TEXT_FIELDS
 from .conditions import Condition, Leaf, groups_of
 from .match import pattern_test, shift
@@ -68,8 +68,7 @@ def leaf_flag(leaf: Leaf, toks: dict[str, Column]) -> Column:
         for f in leaf.fields:
             flag = flag | F.coalesce(_words_flag(leaf, toks[f]), F.lit(False))
         return flag
-    return F.exists(toks["content"],
-                    lambda t: (F.octet_length(t) < MAX_TOKEN_BYTES) & pattern_test(leaf, t))
+    return F.exists(toks["content"], lambda t: pattern_test(leaf, t))
 
 
 def scan(docs: DataFrame, condition: Condition) -> DataFrame:

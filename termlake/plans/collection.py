@@ -35,6 +35,7 @@ MIN_BUCKETS, MAX_BUCKETS = 8, 65536
 # Largest number of rows that is ever sent to the driver or broadcast.
 MAX_HITS_BY_KEY = 1000
 MAX_BROADCAST_PATHS = 200_000
+MAX_LITERAL_PATHS = 1000  # of replaced documents whose buckets alone are opened
 
 TABLES = {
     "documents": ("path string, copy int, filename string, ext string, content string, "
@@ -159,12 +160,11 @@ class Collection:
             now_dead = self._rows("tombstones", [gen]).select("path")
             n_dead = now_dead.count()
         if n_dead:
-            # The dead documents' own text gives what they had counted for.
-            gone = self.keyed_documents().join(
-                F.broadcast(now_dead) if n_dead <= MAX_BROADCAST_PATHS else now_dead, "path", "left_semi")
-            old_rows = index_rows(gone)
-            old_lengths = {r.field: (r.n_docs, r.total_dl or 0) for r in field_lengths(old_rows).collect()}
-            minus = text_rows(old_rows).groupBy("term", "field").agg((-F.count(F.lit(1))).alias("df"))
+            gone = self._counts_of(now_dead, n_dead)
+            gone.write.parquet(f"{self.base_dir}/gone/{gen}")  # read twice below
+            gone = self.spark.read.schema(gone.schema).parquet(f"{self.base_dir}/gone/{gen}")
+            old_lengths = {r.field: (r.n, r.total_dl or 0) for r in gone.filter("term = ''").collect()}
+            minus = text_rows(gone).select("term", "field", (-F.col("n")).alias("df"))
             delta = delta.unionByName(minus).groupBy("term", "field").agg(F.sum("df").alias("df")).filter("df <> 0")
         (delta.repartitionByRange("term").sortWithinPartitions("term", "field")
          .write.mode("append").parquet(f"{self.base_dir}/vocab/gen={gen}"))
@@ -176,6 +176,17 @@ class Collection:
             v.n_tombstones + n_dead,
             tuple((f, total.get(f, 0) + pick(lengths, f, 1) - pick(old_lengths, f, 1)) for f in TEXT_FIELDS))
 
+    def _counts_of(self, paths: DataFrame, n: int) -> DataFrame:
+        """(term, field, n, total_dl): what documents had counted for, from their own
+        postings. No text is read, and for few paths only their buckets."""
+        rows = self._live(self._rows("postings").select("path", "gen", "term", "field", "dl"))
+        if n <= MAX_LITERAL_PATHS:
+            rows = rows.filter(F.col("path").isin([r.path for r in paths.collect()]))
+        else:
+            rows = rows.join(F.broadcast(paths) if n <= MAX_BROADCAST_PATHS else paths, "path", "left_semi")
+        return (rows.filter(F.col("field").isin(*TEXT_FIELDS)).groupBy("term", "field")
+                .agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total_dl")))
+
     # --- searching ----------------------------------------------------------
 
     def search_tables(self) -> SearchTables:

@@ -7,8 +7,10 @@ at a time is assumed; readers are free."""
 
 from __future__ import annotations
 
+import sys
 import time
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,9 @@ from ..sources.files import (MAX_FILE_BYTES, disjoint_layers, documents as read_
                              read_documents, scan_files)
 from ..sources.hidden import hidden_files, ignore_lines, read_hidden
 from ..sources.ignore import apply_ignore, compile_rules
-from .collection import MAX_BROADCAST_PATHS, Collection, Version, empty_version
+from .collection import MAX_BROADCAST_PATHS, Collection, Version, bucket_count, empty_version
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
 
 MANIFEST = ("name string, dir string, folders array<string>, doc_count bigint, last_built bigint, "
             "base bigint, previous_base bigint, buckets int, gens array<bigint>, n_tombstones bigint, "
@@ -29,7 +33,10 @@ INFO_COLS = ["name", "dir", "folders", "doc_count", "last_built"]
 
 # Above this share of dead or fresh documents a sync writes a new base.
 REWRITE_SHARE = 0.3
-MAX_PATHS_BY_NAME = 10_000  # changed files that are loaded by name
+# With more builds, or with text for this many times its buckets, a sync writes
+# a new base too, with as many buckets as the text then needs.
+MAX_GENS = 12
+MAX_BUCKET_GROWTH = 2
 MAX_TIME_RANGES = 500
 
 
@@ -40,12 +47,38 @@ def current_manifest(log: DataFrame) -> DataFrame:
 
 
 def unique_dirs(names: DataFrame) -> DataFrame:
-    """Directory of each of (name, ord): its slug, then slug-2, slug-3 in order."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("slug").orderBy("ord")
-    return (names.withColumn("slug", slugify("name")).withColumn("n", F.row_number().over(w))
-            .select("name", "ord", F.when(F.col("n") == 1, F.col("slug"))
-                    .otherwise(F.concat_ws("-", "slug", F.col("n").cast("string"))).alias("dir")))
+    """Directory of each of (name, ord), given in order of ord: its slug, or with
+    the first number from 2 that makes it free. Only slugs that agree without
+    numbers at their ends can clash, so these are taken one after the other, and
+    no others; a task goes through them as they come and keeps what is taken."""
+    stem = F.regexp_replace("slug", r"(?:-\d+)+$", "")
+    rows = names.select("name", "ord", slugify("name").alias("slug")).withColumn("stem", stem)
+
+    def assign(frames):
+        stem, taken, counter = None, set(), {}
+        for frame in frames:
+            dirs = []
+            for slug, own in zip(frame["slug"], frame["stem"]):
+                if own != stem:
+                    stem, taken, counter = own, set(), {}
+                dirs.append(first_free(slug, taken, counter))
+                taken.add(dirs[-1])
+            yield frame[["name", "ord"]].assign(dir=dirs)
+
+    sorted_rows = rows.repartition("stem").sortWithinPartitions("stem", "ord", "name")
+    kind = dict(names.dtypes)
+    return sorted_rows.mapInPandas(assign, f"name string, ord {kind['ord']}, dir string")
+
+
+def first_free(slug: str, taken, counter: dict[str, int]) -> str:
+    """``slug``, or the first of slug-2, slug-3, … that is not taken. ``counter``
+    remembers how far each slug has come, as nothing is ever given back."""
+    free, n = slug, counter.get(slug, 1)
+    while free in taken:
+        n += 1
+        free = f"{slug}-{n}"
+    counter[slug] = n if n > 1 else 1
+    return free
 
 
 class CollectionStore:
@@ -76,7 +109,7 @@ class CollectionStore:
     def _row(self, name: str) -> Row:
         row = self._current().filter(F.col("name") == name).first()
         if row is None:
-            raise KeyError(f"no collection named {name!r}")
+            raise KeyError(f"{name!r} is not a collection of this store")
         return row
 
     def get(self, name: str) -> Row:
@@ -89,14 +122,14 @@ class CollectionStore:
     def create(self, name: str, folders: list[str]) -> Row:
         name = name.strip()
         if not name:
-            raise ValueError("collection name must not be empty")
+            raise ValueError("a collection needs a name")
         current = self._current().select("name", "dir").collect()  # one row per collection
         if any(r.name == name for r in current):
-            raise ValueError(f"a collection named {name!r} already exists")
+            raise ValueError(f"{name!r} is already in this store")
         slug = self.spark.range(1).select(slugify(F.lit(name))).first()[0]
-        taken, n, free = {r.dir for r in current}, 2, slug
-        while free in taken or path_exists(self.spark, f"{self.root}/{free}"):
-            free, n = f"{slug}-{n}", n + 1
+        taken, counter = {r.dir for r in current}, {}
+        while path_exists(self.spark, f"{self.root}/{(free := first_free(slug, taken, counter))}"):
+            taken.add(free)
         self._save(dict(name=name, dir=free, folders=list(folders), doc_count=0, gens=[],
                         n_tombstones=0, lengths={}, dropped=False))
         return self.get(name)
@@ -233,16 +266,9 @@ class CollectionStore:
                           fetch, extensions, max_file_bytes)
 
     def _read_changed(self, files, changed, extensions, max_file_bytes) -> DataFrame:
-        """Document rows of the changed files. A few are loaded by name. For more,
-        the file scan is narrowed to the hours in which changed files were
-        modified, then joined; only that superset is opened."""
-        names = [r.path for r in changed.select("path").limit(MAX_PATHS_BY_NAME + 1).collect()]
-        if not names:
-            return read_documents(files.filter(F.lit(False)))
-        if len(names) <= MAX_PATHS_BY_NAME:
-            raw = (self.spark.read.format("binaryFile").option("ignoreCorruptFiles", True)
-                   .option("ignoreMissingFiles", True).load([_plain(n) for n in names]))
-            return read_documents(raw.withColumn("copy", F.lit(0)))
+        """Document rows of the changed files: the file scan, narrowed to the hours
+        in which changed files were modified, joined with them. Only files of those
+        hours are opened, and one that is gone by then is left out."""
         hour = 3_600_000
         slots = changed.select(F.floor(F.col("modified") / hour).alias("h")).distinct()
         hours = sorted(r.h for r in slots.limit(MAX_TIME_RANGES + 1).collect())
@@ -291,10 +317,13 @@ class CollectionStore:
         else:
             dead = changed_rows.filter("stored").select("path").unionByName(removed).distinct()
             live = max(old.version.n_docs, 1)
-            if (n.changed + n_removed + old.version.n_tombstones) / live > REWRITE_SHARE:
+            changes = n.changed or n_removed
+            outgrown = changes and (len(old.version.gens) >= MAX_GENS or
+                                    bucket_count(n.bytes or 0) >= MAX_BUCKET_GROWTH * old.version.buckets)
+            if outgrown or (n.changed + n_removed + old.version.n_tombstones) / live > REWRITE_SHARE:
                 kept = old.keyed_documents().join(dead, "path", "left_anti").select("path", "copy", *DOCUMENT_COLS[1:])
                 version = self._rebase(row, gen, kept.unionByName(docs.select(*kept.columns)), n.bytes or 0)
-            elif n.changed or n_removed:
+            elif changes:
                 version = old.write_gen(gen, docs, dead, n.changed_bytes or 0)
             else:
                 version = old.version
@@ -307,8 +336,3 @@ class CollectionStore:
         self._delete(work)
         return dict(indexed=indexed, skipped=n.files - n.unchanged - indexed, files_seen=n.files,
                     unchanged=n.unchanged, removed=n_removed)
-
-
-def _plain(path: str) -> str:
-    """A listed path as a literal for loading: glob characters are escaped."""
-    return "".join("\\" + ch if ch in "*?[]{}\\" else ch for ch in path)

@@ -10,10 +10,11 @@ from ..schema import RAW_FILE
 
 # The extensions taken as plain text, and the largest file indexed.
 DEFAULT_EXTENSIONS = (
-    "txt md markdown rst csv tsv log json jsonl ndjson xml yaml yml toml ini cfg conf env "
-    "properties rs py js mjs cjs ts tsx jsx java kt c h cpp cc hpp cs go rb php swift scala "
-    "sql sh bash zsh ps1 bat html htm css scss less vue svelte tex org asciidoc adoc"
-).split()
+    "txt", "md", "markdown", "rst", "csv", "tsv", "log", "json", "jsonl", "ndjson", "xml", "yaml", "yml", "toml", "ini",
+    "cfg", "conf", "env", "properties", "rs", "py", "js", "mjs", "cjs", "ts", "tsx", "jsx", "java", "kt", "c", "h", "cpp",
+    "cc", "hpp", "cs", "go", "rb", "php", "swift", "scala", "sql", "sh", "bash", "zsh", "ps1", "bat", "html", "htm",
+    "css", "scss", "less", "vue", "svelte", "tex", "org", "asciidoc", "adoc",
+)
 MAX_FILE_BYTES = 20 * 1024 * 1024
 
 
@@ -59,15 +60,20 @@ def scan_files(spark: SparkSession, roots: list[str], missing_roots: str = "erro
 
 
 def is_eligible(extensions=None, max_file_bytes: int = MAX_FILE_BYTES, path="path", size="length") -> Column:
-    """Allowed extension (``"*"`` allows all) and not over the size cap. The cap on ``length`` is
-    pushed into the file scan, so larger files are not read."""
-    allowed = list(extensions or DEFAULT_EXTENSIONS)
-    named = F.lit(True) if "*" in allowed else ext_of(path).isin(allowed)
-    return named & (F.col(size) <= max_file_bytes)
+    """Allowed extension and not over the size cap. The cap on ``length`` is pushed
+    into the file scan, so larger files are not read."""
+    return has_ext(extensions, path) & (F.col(size) <= max_file_bytes)
+
+
+def has_ext(extensions=None, path="path") -> Column:
+    """An extension of the caller's list, as it is: ``"*"`` allows all and an empty
+    list none. Without a list, the default ones."""
+    allowed = list(DEFAULT_EXTENSIONS if extensions is None else extensions)
+    return F.lit(True) if "*" in allowed else ext_of(path).isin(allowed) if allowed else F.lit(False)
 
 
 def filter_ext(files: DataFrame, extensions=None) -> DataFrame:
-    return files.filter(ext_of("path").isin(list(extensions or DEFAULT_EXTENSIONS)))
+    return files.filter(has_ext(extensions))
 
 
 def filter_size(files: DataFrame, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:

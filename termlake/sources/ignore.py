@@ -18,9 +18,19 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if _bounded_count(df) <= MAX_BROADCAST_ROWS else df
 
 
+#: Characters that mean something in a pattern, the backslash first, and what
+#: stands for them while the rest is translated.
+ESCAPED = (("\\", "\u0011"), ("*", "\u0012"), ("?", "\u0013"), ("[", "\u0014"), ("]", "\u0015"))
+
+
 def _glob(c: Column) -> Column:
     """An ignore pattern as a regular expression. ``*`` and ``?`` stay inside a
-    path segment, ``**`` between slashes spans any number of them."""
+    path segment, ``**`` between slashes spans any number of them. A backslash
+    makes the next character literal: such pairs are taken out first, from left to
+    right, and put back last."""
+    for escaped, mark in ESCAPED:
+        c = F.replace(c, F.lit("\\" + escaped), F.lit(mark))
+    c = F.regexp_replace(c, r"\\(.)", "$1")
     c = F.regexp_replace(c, r"([.+()|{}^$])", r"\\$1")
     for glob, mark in ((r"\[!", "\u0001"), (r"^\*\*/", "\u0002"), (r"/\*\*/", "\u0003"), (r"/\*\*$", "\u0004"),
                        (r"\*+", "\u0005"), (r"\?", "\u0006")):
@@ -28,6 +38,8 @@ def _glob(c: Column) -> Column:
     for mark, pattern in (("\u0001", "[^"), ("\u0002", "(?:.*/)?"), ("\u0003", "/(?:.*/)?"), ("\u0004", "/.*"),
                           ("\u0005", "[^/]*"), ("\u0006", "[^/]")):
         c = F.replace(c, F.lit(mark), F.lit(pattern))
+    for escaped, mark in ESCAPED:
+        c = F.replace(c, F.lit(mark), F.lit("\\" + escaped))
     return c
 
 

@@ -4,7 +4,8 @@ import os
 
 import pytest
 
-from termlake.sources.files import DEFAULT_EXTENSIONS, documents, scan_files
+from termlake.functions.text import decode_text
+from termlake.sources.files import DEFAULT_EXTENSIONS, documents, filter_ext, is_eligible, scan_files
 from termlake.sources.hidden import hidden_files, ignore_lines, read_hidden
 from termlake.sources.ignore import apply_ignore, compile_rules
 
@@ -89,3 +90,24 @@ def test_ignore_globs(spark):
     assert gone("q?.md") == ["q1.md", "qa.md"] and gone("q[0-9].md") == ["q1.md"] and gone("q[!0-9].md") == ["qa.md"]
     assert gone("k+.c") == ["k+.c"] and gone("v/**") == ["v/w/f"] and gone("w") == ["v/w/f"] and gone("/w") == []
     assert gone("*.md", "!q1.md") == ["q12.md", "qa.md"] and gone("!q1.md", "*.md") == ["q1.md", "q12.md", "qa.md"]
+
+
+def test_escaped_ignore_patterns(spark):
+    lines = [("", 0, r"foo\*bar"), ("", 1, r"what\?"), ("", 2, r"\[x]"), ("", 3, r"back\\*"), ("", 4, r"\a*")]
+    rules = compile_rules(spark.createDataFrame(lines, "dir string, ord int, line string"))
+    paths = ["foo*bar", "fooxbar", "what?", "whats", "[x]", "x", "back\\slash", "backs", "abc", "\\abc", "d/foo*bar"]
+    kept = apply_ignore(spark.createDataFrame([(p,) for p in paths], "path string"), rules)
+    assert sorted(r.path for r in kept.collect()) == sorted(["fooxbar", "whats", "x", "backs", "\\abc"])
+
+
+def test_extension_lists_are_taken_as_they_are(spark):
+    files = spark.createDataFrame([("a.txt", 1), ("b.png", 1), ("c", 1)], "path string, length bigint")
+    for extensions, want in ((None, ["a.txt"]), ([], []), (["*"], ["a.txt", "b.png", "c"]), (["png"], ["b.png"])):
+        assert sorted(r.path for r in filter_ext(files, extensions).collect()) == want
+        assert sorted(r.path for r in files.filter(is_eligible(extensions)).collect()) == want
+
+
+def test_legacy_text_is_windows_1252(spark):
+    raw = bytes([0x93, 0x41, 0x94, 0x80, 0x81, 0xE9])
+    frame = spark.createDataFrame([(bytearray(raw),)], "b binary")
+    assert frame.select(decode_text("b")).first()[0] == "\u201cA\u201d\u20ac\x81\xe9"

@@ -11,7 +11,7 @@ import termlake as tl
 from termlake.functions.text import fuzzy_distance, glob_to_regex, query_tokens
 from termlake.operators.conditions import groups_of
 from termlake.operators.match import SearchTables, matches
-from termlake.operators.postings import field_lengths, index_rows, stats_map, vocabulary
+from termlake.operators.postings import field_lengths, index_rows, stats_map, tokenize, vocabulary
 from termlake.operators.rank import FieldStats, idf
 from termlake.operators.scan import scan
 
@@ -97,18 +97,24 @@ def test_invalid_conditions(small):
 def test_small_parsers():
     assert glob_to_regex("a*b?c.d") == r"a.*b.c\.d"
     assert [fuzzy_distance(d) for d in ("", "0", "1", "2", "9", "300")] == [1, 1, 1, 2, 2, 1]
-    assert query_tokens("Foo-bar " + "x" * 40 + " é1") == [(0, "foo"), (1, "bar"), (3, "é1")]
+    assert query_tokens("Foo-bar " + "x" * 40 + " é1") == [(0, "foo"), (1, "bar"), (2, "x" * 40), (3, "é1")]
 
 
-def test_long_tokens_keep_positions(spark):
-    long = "y" * 40
+def test_long_tokens_are_searchable(spark):
+    long = "y" * 4000
     t = tables(frame(spark, [("a.txt", f"one {long} two"), ("b.txt", "one two"), ("c.txt", "y" * 39)]))
     found = lambda c: sorted(r.path for r in matches(t, c).collect())
     assert found(tl.phrase("one two")) == ["d/b.txt"]
     assert found(tl.phrase(f"one {long} two")) == ["d/a.txt"]
-    assert found(T(long)) == [] and found(T("y" * 39)) == ["d/c.txt"]
-    assert found(W("y*")) == ["d/c.txt"]
-    assert t.stats["content"] == FieldStats(3, 5 / 3)
+    assert found(T(long)) == ["d/a.txt"] and found(T("y" * 39)) == ["d/c.txt"]
+    assert found(W("y*")) == ["d/a.txt", "d/c.txt"]
+    assert t.stats["content"] == FieldStats(3, 2)
+
+
+def test_a_token_limit_keeps_positions(spark):
+    docs = frame(spark, [("a.txt", f"one {'y' * 40} two")])
+    rows = tokenize(docs, max_token_bytes=40).select("pos", "term").collect()
+    assert sorted(map(tuple, rows)) == [(0, "one"), (2, "two")]
 
 
 def brute_starts(words, wanted, slop):

@@ -3,10 +3,12 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import termlake as tl
 from termlake.operators import sync
+from termlake.plans import collection as col
 from termlake.plans import store as st
 
 COUNTS = ("indexed", "unchanged", "removed")
@@ -119,8 +121,7 @@ def test_many_changed_files_are_read_by_range(spark, tmp_path, monkeypatch):
     store.build("c", hidden=False, ignore_files=False)
     for i in range(4):
         put(src, f"f{i}.txt", f"word{i} new", 1600000000 + i * 7200)
-    for limit in ("MAX_PATHS_BY_NAME", "MAX_TIME_RANGES"):
-        monkeypatch.setattr(st, limit, 1)
+    monkeypatch.setattr(st, "MAX_TIME_RANGES", 1)
     assert store.build("c", hidden=False, ignore_files=False)["indexed"] == 4
     coll = store.open("c")
     assert found(coll, tl.term("new")) == [f"f{i}.txt" for i in range(4)]
@@ -177,3 +178,47 @@ def test_limits(spark, sf_dir):
     small = [r.path for r in coll.search(tl.term("the"), 40).collect()]
     large = [r.path for r in coll.search(tl.term("the"), 5000).collect()]
     assert small == large[:40]
+
+
+def test_directories_are_unique(spark):
+    names = ["a", "A", "a-2", "a 2", "b-7", "a", "***", "***", "b-7", "a-2-2"]
+    rows = spark.createDataFrame(list(enumerate(names)), "ord int, name string").repartition(3)
+    got = [r.dir for r in st.unique_dirs(rows).orderBy("ord").collect()]
+    assert got == ["a", "a-2", "a-2-2", "a-2-3", "b-7", "a-3", "index", "index-2", "b-7-2", "a-2-2-2"]
+
+
+def _docs(spark, ids, text="some words here"):
+    return spark.createDataFrame([(f"p{i}.txt", f"p{i}.txt", "txt", f"{text} n{i}", 1, 10) for i in ids],
+                                 "path string, filename string, ext string, content string, modified bigint, size bigint")
+
+
+def test_growing_collections_are_written_anew(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(st, "MAX_GENS", 3)
+    store = tl.CollectionStore(spark, str(tmp_path))
+    store.create("c", ["x"])
+    for n in (40, 50, 60, 70, 80, 90):
+        store.build_from("c", _docs(spark, range(n)))
+        assert len(store.open("c").version.gens) <= 3
+    assert store.open("c").count_docs() == 90 and found(store.open("c"), tl.term("n85")) == ["p85.txt"]
+    # text for many more buckets brings the buckets
+    big = _docs(spark, range(90)).withColumn("size", F.lit(2 * 1024 * 1024).cast("bigint"))
+    buckets = store.open("c").version.buckets
+    store.build_from("c", big.unionByName(_docs(spark, [100])))
+    assert store.open("c").version.buckets > buckets
+
+
+def test_a_small_sync_reads_no_text_of_the_dead(spark, tmp_path, monkeypatch):
+    store = tl.CollectionStore(spark, str(tmp_path))
+    store.create("c", ["x"])
+    store.build_from("c", _docs(spark, range(60)))
+    coll = store.open("c")
+    for literal in (1000, 0):
+        monkeypatch.setattr(col, "MAX_LITERAL_PATHS", literal)
+        gone = coll._counts_of(spark.createDataFrame([("p3.txt",)], "path string"), 1)
+        plan = gone._jdf.queryExecution().executedPlan().toString()
+        assert "content#" not in plan and "positions" not in plan
+        assert {(r.term, r.field): (r.n, r.total_dl) for r in gone.collect()}[("", "content")] == (1, 4)
+    store.build_from("c", _docs(spark, range(1, 60)).unionByName(_docs(spark, [0], "other text").withColumn("modified", F.lit(2).cast("bigint"))))
+    v = {(r.term, r.field): r.df for r in store.open("c").vocabulary().collect()}
+    assert v[("some", "content")] == 59 and v[("other", "content")] == 1
+    assert dict(store.open("c").version.lengths)["content"] == 59 * 4 + 3
