@@ -15,6 +15,7 @@ with the same id are packed like any other. An empty table gives an empty result
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import types
@@ -49,6 +50,31 @@ PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 # --- token ids -----------------------------------------------------------------
 
+#: Fixed value: how byte-level tokenizers split a text before they merge.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def merger(source: str):
+    """The merges of a byte-level tokenizer file as a tiktoken encoding, which runs
+    them faster; None unless the file says that both give the same ids."""
+    import tiktoken
+    spec = json.loads(source)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    if (model.get("type"), before.get("type")) != ("BPE", "ByteLevel") or before.get("add_prefix_space") or spec.get("normalizer"):
+        return None
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+    others = [b for b in range(256) if b not in printed]
+    byte_of = {chr(b): b for b in printed} | {chr(256 + k): b for k, b in enumerate(others)}
+    special = {t["content"] for t in spec.get("added_tokens", ())}
+    ids = {t: i for t, i in model["vocab"].items() if t not in special}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    merged = [ids["".join(m)] for m in pairs]
+    if merged != sorted(merged):  # tiktoken takes the ids for the order of the merges
+        return None
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in ids.items()}
+    return tiktoken.Encoding("packing", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
     """Ids of whole texts, as the tokenizer gives them. Between a character and a
     single space or line break before another one the tokenizer always splits, so
@@ -58,6 +84,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.merger = merger(self.tokenizer.to_str())
         self.known: dict[str, bytes | None] = {}
         specials = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain = re.compile(r" ?\S+|\n")
@@ -75,10 +102,13 @@ class Encoder:
         parts = [x.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if "\0" not in x else [""] for x in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list(set().union(*parts) - self.known.keys()) if parts else []
+        new = [x for x in set().union(*parts) if x not in self.known]
         plain = [x for x in new if self.plain.fullmatch(x) and not self.special.search(x)]
         self.known.update(dict.fromkeys(new))
-        self.known.update(zip(plain, self._ids(plain), strict=True))
+        if self.merger:
+            self.known.update((x, array("I", self.merger.encode_ordinary(x)).tobytes()) for x in plain)
+        else:
+            self.known.update(zip(plain, self._ids(plain), strict=True))
         out: list[bytes | None] = []
         for text, own in zip(texts, parts, strict=True):
             try:
@@ -106,13 +136,14 @@ def choose_cuts(at: list[int], penalty: list[float], window: int = WINDOW) -> tu
     level = [0.0] * len(at)  # cost + position: what the queue is ordered by
     level[0] = float(at[0])
     where = {at[0]: 0}
+    short = [n for n in SHORT_WINDOWS if n < window]
     for j in range(1, len(at)):
         p = at[j]
         while at[queue[0]] < p - window:
             queue.popleft()
         i = queue[0]
         best = level[i] + window - p
-        for n in SHORT_WINDOWS:
+        for n in short:
             k = where.get(p - n)
             if k is not None and cost[k] < best:
                 best, i = cost[k], k
