@@ -191,7 +191,8 @@ def cross_entropy_difference(docs: DataFrame, grams: DataFrame, broadcast_grams:
 
 
 def score_against_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Scores of ``docs`` with the documents labelled good as the target."""
+    """Scores of ``docs`` with the documents labelled good as the target. Labels grow
+    with the documents, so both are merged by id at every size."""
     good = labels.filter("quality = 1 and doc_id is not null").select("doc_id", F.lit(True).alias("good")).distinct()
-    marked = docs.select("doc_id", "text").join(good, "doc_id", "left")
+    marked = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")
     return cross_entropy_difference(docs, count_grams(marked, F.col("good")))
