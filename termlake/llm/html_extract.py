@@ -239,10 +239,12 @@ def extract(sources: list[str | None], model: trees.Trees | None) -> list[str]:
 
 
 def sample(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, html_col: str = "html") -> list[str]:
-    """At most ``sample_pages`` different pages, by hash."""
+    """At most ``sample_pages`` different pages, those with the lowest hash. All pages
+    are counted, so that only about as many as are wanted leave their tasks."""
     source = F.col(f"`{html_col}`").cast("string")
-    few = (pages.select(source.alias("html"), F.xxhash64(source).alias("h")).filter("html is not null")
-           .select("h", "html").orderBy("h").limit(2 * sample_pages).collect())
+    rows = pages.select(source.alias("html"), F.shiftrightunsigned(F.xxhash64(source), 1).alias("h")).filter("html is not null")
+    share = min(1.0, (3.0 * sample_pages + 64) / max(1, rows.count()))
+    few = rows.filter(F.col("h") <= min(int(share * (1 << 63)), (1 << 63) - 1)).orderBy("h", "html").limit(2 * sample_pages).collect()
     return list(dict.fromkeys(r["html"] for r in few))[:sample_pages]
 
 
