@@ -68,7 +68,48 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _SPACE = r"[\x20\x09-\x0D]"
 
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _in_range(rule: quality.Rule) -> str:
+    a, b = {"mean_word_chars": ("word_chars", "n_words"), "symbols_per_word": ("n_symbols", "n_words"),
+            "stop_word_ratio": ("n_stop_words", "n_words"), "dup_line_ratio": ("n_dup_lines", "n_lines"),
+            "repeat_word_ratio": ("n_repeat_words", "n_words"), "upper_ratio": ("n_upper", "n_letters")}[rule.ratio]
+    value = f"(CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0.0 END)"
+    return " AND ".join([f"{value} >= {rule.low}"] * (rule.low is not None) + [f"{value} <= {rule.high}"] * (rule.high is not None))
+
+
+_STOP = ", ".join(f"'{w}'" for w in sorted({w for words in quality.STOP_WORDS.values() for w in words}))
+
 SQL = {
+    "op3_quality_rules": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{_WORD}') AS words,
+             [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '{_WORD}')] AS lines FROM d),
+x AS (SELECT r, unnest(words) AS x, unnest(range(1, len(words) + 1)) AS i FROM w),
+stop AS (SELECT r, count(*) AS n_stop_words FROM x WHERE lower(x) IN ({_STOP}) GROUP BY r),
+three AS (SELECT r, i, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o AS g FROM x WINDOW o AS (PARTITION BY r ORDER BY i)),
+twice AS (SELECT r, i FROM three WHERE g IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+rep AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM twice) GROUP BY r),
+c AS (SELECT doc_id, len(words) AS n_words, len(array_to_string(words, '')) AS word_chars,
+             len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
+             len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+             len(regexp_replace(t, '\\P{{Lu}}', '', 'g')) AS n_upper, len(regexp_replace(t, '\\P{{L}}', '', 'g')) AS n_letters,
+             coalesce(n_stop_words, 0) AS n_stop_words
+      FROM w LEFT JOIN rep USING (r) LEFT JOIN stop USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND {" AND ".join(map(_in_range, quality.RULES))} AS kept FROM b""",
+    "op7_substring_dedup": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents),
+i AS (SELECT *, unnest(range(1, len(words) - 18)) AS i FROM d),
+again AS (SELECT r, i FROM (SELECT r, doc_id, i, array_to_string(words[i:i + 19], ' ') AS w FROM i)
+          QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id NULLS LAST, i) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 20)) AS j FROM again),
+word AS (SELECT r, unnest(words) AS x, unnest(range(1, len(words) + 1)) AS j FROM d),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY j) AS t, count(*) AS n FROM word ANTI JOIN gone USING (r, j) GROUP BY r)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)""",
     "op8_exact_dedup": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '{_SPACE}', '', 'g') AS norm
            FROM documents),
