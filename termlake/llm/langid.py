@@ -86,7 +86,8 @@ def fit(languages: list[str], labels: np.ndarray, present: np.ndarray, landmarks
     values, vectors = np.linalg.eigh(among)
     solid = values > values[-1] * 1e-6
     inverse_root = vectors[:, solid] / np.sqrt(values[solid])
-    features = (present.astype(np.float32) @ marks.T).astype(np.float64) / root(present)[:, None] / root(marks) @ inverse_root
+    common = np.concatenate([present[i:i + BLOCK_ROWS].astype(np.float32) @ marks.T for i in range(0, len(present), BLOCK_ROWS)])
+    features = common.astype(np.float64) / root(present)[:, None] / root(marks) @ inverse_root
     # every language weighs the same, however many rows it has
     weight = 1.0 / np.bincount(labels, minlength=len(languages))[labels]
     target = np.where(labels[:, None] == np.arange(len(languages)), 1.0, -1.0)
