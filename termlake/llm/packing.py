@@ -42,7 +42,7 @@ HARD_STEP = 256
 SHORT_WINDOWS = (32, 64, 128, 256, 512, 1024)
 GATHER_TOKENS = 400_000
 #: Pieces of text whose ids a worker remembers before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "sequence_tokens long")
