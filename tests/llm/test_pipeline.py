@@ -41,7 +41,10 @@ def test_stages(spark, sf_dir, table):
     assert collections.Counter(r.doc_id for r in fourth.collect()) == collections.Counter({k: n for k, n in plan.items() if n})
     assert fourth.columns == columns
     words = lambda d: sum(len(WORD.findall(t)) for t in texts(d))
-    assert words(fourth) == pytest.approx(1.5 * words(third), rel=0.2)
+    largest = collections.Counter()  # documents are taken whole, so a source misses its target by one at most
+    for r in third.collect():
+        largest[r.source] = max(largest[r.source], len(WORD.findall(r.text)))
+    assert words(fourth) == pytest.approx(1.5 * words(third), abs=sum(largest.values()))
 
     fifth = corpus_pipeline.pack(spark, fourth, sf_dir).toPandas()
     from tokenizers import Tokenizer
