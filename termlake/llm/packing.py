@@ -15,12 +15,9 @@ with the same id are packed like any other. An empty table gives an empty result
 
 from __future__ import annotations
 
-import json
-import re
 import sys
 import types
 import zlib
-from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -30,6 +27,8 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import ByteLevel
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 2048
@@ -41,8 +40,6 @@ SENTENCE_CUT, HARD_CUT, SEQUENCE = 8.0, 64.0, 16.0
 HARD_STEP = 256
 SHORT_WINDOWS = (32, 64, 128, 256, 512, 1024)
 GATHER_TOKENS = 400_000
-#: Pieces of text whose ids a worker remembers before it starts anew.
-REMEMBERED = 200_000
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "sequence_tokens long")
@@ -50,72 +47,19 @@ PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 # --- token ids -----------------------------------------------------------------
 
-#: Fixed value: how byte-level tokenizers split a text before they merge.
-SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-def merger(source: str):
-    """The merges of a byte-level tokenizer file as a tiktoken encoding, which runs
-    them faster; None unless the file says that both give the same ids."""
-    import tiktoken
-    spec = json.loads(source)
-    model, before = spec["model"], spec.get("pre_tokenizer") or {}
-    if (model.get("type"), before.get("type")) != ("BPE", "ByteLevel") or before.get("add_prefix_space") or spec.get("normalizer"):
-        return None
-    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
-    others = [b for b in range(256) if b not in printed]
-    byte_of = {chr(b): b for b in printed} | {chr(256 + k): b for k, b in enumerate(others)}
-    special = {t["content"] for t in spec.get("added_tokens", ())}
-    ids = {t: i for t, i in model["vocab"].items() if t not in special}
-    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-    merged = [ids["".join(m)] for m in pairs]
-    if merged != sorted(merged):  # tiktoken takes the ids for the order of the merges
-        return None
-    ranks = {bytes(byte_of[c] for c in t): i for t, i in ids.items()}
-    return tiktoken.Encoding("packing", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-
-
 class Encoder:
-    """Ids of whole texts, as the tokenizer gives them. Between a character and a
-    single space or line break before another one the tokenizer always splits, so
-    ids of the parts between are looked up; texts with other white space are
-    encoded whole."""
+    """Ids of whole texts, as the tokenizer gives them, and where sentences end."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.merger = merger(self.tokenizer.to_str())
-        self.known: dict[str, bytes | None] = {}
-        specials = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.plain = re.compile(r" ?\S+|\n")
-        self.special = re.compile("|".join(specials) if specials else r"(?!)")
-        vocabulary = self.tokenizer.get_vocab()
+        self.tokens = ByteLevel(path, specials=True)
+        vocabulary = self.tokens.tokenizer.get_vocab()
         size = max(vocabulary.values(), default=0) + 2
         self.ends, self.opens = np.zeros(size, bool), np.zeros(size, bool)
         for token, i in vocabulary.items():  # Ġ and Ċ stand for a space and a line break
             self.ends[i], self.opens[i] = token[-1:] in (".", "!", "?", "Ċ"), token[:1] in ("Ġ", "Ċ")
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [x.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if "\0" not in x else [""] for x in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [x for x in set().union(*parts) if x not in self.known]
-        plain = [x for x in new if self.plain.fullmatch(x) and not self.special.search(x)]
-        self.known.update(dict.fromkeys(new))
-        if self.merger:
-            self.known.update((x, array("I", self.merger.encode_ordinary(x)).tobytes()) for x in plain)
-        else:
-            self.known.update(zip(plain, self._ids(plain), strict=True))
-        out: list[bytes | None] = []
-        for text, own in zip(texts, parts, strict=True):
-            try:
-                out.append(b"".join(map(self.known.__getitem__, own)))
-            except TypeError:  # a part that has to be seen in its place
-                out.append(self._ids([text])[0])
-        return [np.frombuffer(x, "<u4") for x in out]
+        return [np.frombuffer(x, "<u4") for x in self.tokens.encode(texts)]
 
 
 def encoder(path: str) -> Encoder:

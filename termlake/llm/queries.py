@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, langid, license_scan, lm_score, mixing, packing, quality, simhash, substring_dedup
+from . import (exact_dedup, filter_audit, html_extract, langid, license_scan, lm_score, mixing, neighbours, packing, quality,
+               simhash, substring_dedup, token_alignment)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +63,22 @@ def op10_mixing(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken", F.array_min("positions").alias("first_position"))
 
 
+def op11_nearest_neighbours(spark, sf_dir):
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_token_alignment(spark, sf_dir):
+    return token_alignment.alignment(_table(spark, sf_dir, "documents"), packing.public_tokenizer(),
+                                     packing.public_tokenizer("piece_bpe_32k.model"))
+
+
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_html_extraction, op3_quality_rules, op4_lm_scoring, op5_packing, op6_license_scan, op7_substring_dedup, op8_exact_dedup, op9_simhash_near_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_html_extraction, op3_quality_rules, op4_lm_scoring, op5_packing, op6_license_scan, op7_substring_dedup, op8_exact_dedup, op9_simhash_near_dedup, op10_mixing, op11_nearest_neighbours,
+                                  op12_token_alignment, op13_filter_audit)}
 
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -116,6 +131,32 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text,
 g AS (SELECT *, count(*) OVER (PARTITION BY norm) AS group_size,
              first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(t) DESC, doc_id) AS keep_id FROM d)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g""",
+    "op13_filter_audit": f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{_WORD}') AS ws FROM d),
+first AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws),
+              100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t), regexp_matches(t, '[#$%&*|]'),
+              first IS NOT NULL AND (doc_id IS NULL OR first < doc_id)] AS fails
+      FROM w JOIN first USING (t) LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM f GROUP BY part, fails),
+v AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS v),
+o AS (SELECT a.v || b.v || c.v || d.v || e.v AS filter_order FROM v a, v b, v c, v d, v e
+      WHERE len(list_distinct([a.v, b.v, c.v, d.v, e.v])) = 5),
+s AS (SELECT filter_order, step, instr('ABCDE', substr(filter_order, step, 1)) AS own,
+             [instr('ABCDE', substr(filter_order, j, 1)) FOR j IN range(1, step)] AS before
+      FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+m AS (SELECT *, fails[own] AS failed, len([j FOR j IN before IF fails[j]]) > 0 AS gone, len([z FOR z IN fails IF z]) = 1 AS alone FROM c, s),
+r AS (SELECT part, filter_order, step, own,
+             coalesce(sum(n) FILTER (NOT failed AND NOT gone), 0)::BIGINT AS kept,
+             coalesce(sum(n) FILTER (failed AND NOT gone), 0)::BIGINT AS removed,
+             coalesce(sum(n) FILTER (failed AND gone), 0)::BIGINT AS redundant,
+             coalesce(sum(n) FILTER (failed AND alone), 0)::BIGINT AS unique_fails,
+             coalesce(sum(g) FILTER (failed AND NOT gone), 0)::BIGINT AS good_lost,
+             coalesce(sum(x) FILTER (failed AND NOT gone), 0)::BIGINT AS toxic_lost FROM m GROUP BY ALL)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r""",
 }
 
 
