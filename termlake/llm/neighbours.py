@@ -46,7 +46,7 @@ BLOCK_VECTORS = 16_384
 DIRECTIONS = 64
 #: Half a window over the search radius, growth of the radius, and the share of
 #: vectors at the very radius that may collide too seldom.
-WIDTH, GROWTH, MISSED = 1.0, 1.08, 0.03
+WIDTH, GROWTH, MISSED = 1.6, 1.08, 0.2
 #: Vectors of a block that are looked at for the first radius of a query.
 SEEDS = 256
 BATCH_QUERIES = 256
@@ -106,7 +106,8 @@ class Block:
             return [(np.arange(n), (self.vectors * q).sum(axis=1)) for q in queries]
         size = np.abs(queries).max(axis=1, keepdims=True)
         unit = queries / size
-        unit *= self.norm / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+        stretch = self.norm / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+        unit *= stretch
         centre = unit @ self.rows[:, :-1].T
         near = np.maximum(2 * self.norm ** 2 - 2 * (unit @ (self.vectors[self.seeds] / self.scale).T), 0)
         near[near < 1e-9 * self.norm ** 2] = 4 * self.norm ** 2  # the query itself is no guide
@@ -114,21 +115,21 @@ class Block:
         start = np.maximum(start, 1e-6 * self.norm)
         lows = self._bounds(centre - WIDTH * start[:, None], "left")
         highs = self._bounds(centre + WIDTH * start[:, None], "right")
-        return [self._expand(*x, wanted) for x in zip(queries, unit, centre, start, lows, highs, strict=True)]
+        return [self._expand(*x, wanted) for x in zip(queries, (stretch / size).ravel() / self.scale, centre, start, lows, highs, strict=True)]
 
-    def _expand(self, query, unit, centre, radius, low, high, wanted) -> tuple[np.ndarray, np.ndarray]:
+    def _expand(self, query, stretch, centre, radius, low, high, wanted) -> tuple[np.ndarray, np.ndarray]:
         n, order = len(self.vectors), self.order
-        counts = np.bincount(np.concatenate([o[a:b] for o, a, b in zip(order, low, high, strict=True)]), minlength=n)
+        outside = [part for o, a, b in zip(order, low, high, strict=True) for part in (o[:a], o[b:])]
+        counts = len(order) - np.bincount(np.concatenate(outside), minlength=n)
         done = np.zeros(n, bool)
         places, products, apart = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
         while True:
             fresh = np.flatnonzero((counts >= self.enough) & ~done)
             if len(fresh):
                 done[fresh] = True
-                rows = self.vectors[fresh]
-                places = np.concatenate([places, fresh])
-                products = np.concatenate([products, (rows * query).sum(axis=1)])
-                apart = np.concatenate([apart, 2 * self.norm ** 2 - 2 * ((rows / self.scale) @ unit)])
+                own = (self.vectors[fresh] * query).sum(axis=1)
+                places, products = np.concatenate([places, fresh]), np.concatenate([products, own])
+                apart = np.concatenate([apart, 2 * self.norm ** 2 - 2 * stretch * own])
             if len(places) >= wanted and (len(places) == n or (apart <= radius * radius).sum() >= wanted):
                 return places, products
             radius *= GROWTH
