@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from itertools import accumulate
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,10 @@ def shared_folder(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
-    return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="llm-"))
+    key = spark.sparkContext.applicationId
+    if key not in _own:
+        _own[key] = tempfile.mkdtemp(prefix="llm-")
+    return _own[key]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -40,11 +44,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def row_key(df: DataFrame):
-    """A hash of a whole row. Rows that agree in it are interchangeable."""
-    columns = [c for name in df.columns for c in (F.col(f"`{name}`"), F.col(f"`{name}`").isNull())]
+    """A hash of a whole row. Rows that agree in it are interchangeable. Maps, which
+    have no hash, are taken as text: equal maps with entries in another order differ."""
+    value = {name: F.to_json(F.struct(F.col(f"`{name}`"))) if "map<" in kind else F.col(f"`{name}`") for name, kind in df.dtypes}
+    columns = [c for name in df.columns for c in (value[name], F.col(f"`{name}`").isNull())]
     return F.xxhash64(*columns) if columns else F.lit(0).cast("long")
 
 
+def in_file_order(df: DataFrame) -> DataFrame:
+    """``df`` in range partitions that hold its rows as its part files do, if it is
+    a table in files: readers deal files out by size, so their order has to be
+    restored. Anything else stays as it is."""
+    try:
+        placed = df.withColumns({"__llm_file": F.col("_metadata.file_name"), "__llm_at": F.col("_metadata.row_index")})
+    except AnalysisException:
+        return df
+    number = lambda pattern: F.regexp_extract("__llm_file", pattern, 1).cast("long")
+    order = [number(r"part-(\d+)"), number(r"\.c(\d+)"), F.col("__llm_file"), F.col("__llm_at")]
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def join_lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """Inner join of ``left`` with ``right``, which has one row per ``key`` and in
     ``weight`` its number of ``left`` rows, ``total`` in all. Keys with more than

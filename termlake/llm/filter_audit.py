@@ -32,7 +32,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -165,12 +165,13 @@ def count_masks(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     rows = rows.groupBy("id", "part", "mask", "digest").agg(F.count(F.lit(1)).alias("n"))
 
     is_one = lambda c: F.max(F.coalesce(F.col(c) == 1, F.lit(False)))
-    known = (labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id"))
-             .agg(is_one("quality").alias("good"), is_one("toxic").alias("toxic")))
-    labelled = rows.filter("id is not null").join(known, "id", "left").fillna(False, ["good", "toxic"])
-    unnamed = rows.filter("id is null").withColumns({"good": F.lit(False), "toxic": F.lit(False)})
-    cells = labelled.unionByName(unnamed).groupBy("digest", "part", "mask", "good", "toxic").agg(
-        F.sum("n").alias("n"), F.min("id").alias("least"), F.min_by("n", "id").alias("n_least"))
+    known = (labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("key"))
+             .agg(is_one("quality").alias("good"), is_one("toxic").alias("toxic")).withColumn("named", F.lit(True)))
+    # null ids, which no label has, are dealt out by their texts
+    rows = rows.withColumns({"named": F.col("id").isNotNull(), "key": F.coalesce("id", F.xxhash64("digest"))})
+    labelled = rows.join(known, ["named", "key"], "left").fillna(False, ["good", "toxic"])
+    cells = written(labelled.groupBy("digest", "part", "mask", "good", "toxic").agg(
+        F.sum("n").alias("n"), F.min("id").alias("least"), F.min_by("n", "id").alias("n_least")), "text-cells")
     first = cells.groupBy("digest").agg(F.min("least").alias("first"))
     cells = cells.join(first, "digest")
     ahead = F.when(F.col("first").isNull(), F.col("n")).when(F.col("least") == F.col("first"), F.col("n_least")).otherwise(0)

@@ -63,6 +63,7 @@ TAGS = (("article", "main"), ("section",), ("div",), ("p", "blockquote", "pre"),
         ("figure", "figcaption", "img"), ("body", "html", "#root"))
 _TAG = {t: k for k, group in enumerate(TAGS) for t in group}
 _NAME = {w: k for k, words in enumerate(NAMED.values()) for w in words}
+_OTHER = [k for k, name in enumerate(NAMED) if name not in ("content", "header")]
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _MARKS = re.compile(r"[.!?,;:]")
 
@@ -153,11 +154,17 @@ def _below(page: Page, wanted) -> np.ndarray:
     return flag
 
 
+def _boxed(node) -> bool:
+    """A container whose names say that it holds something else than main text."""
+    return node.tag in ("div", "section", "ul") and any(k in _OTHER for k in _named(node.attributes)) and not any(
+        k == 0 for k in _named(node.attributes))
+
+
 def own_labels(page: Page) -> np.ndarray | None:
     """Labels of a page that has one <article>, or else one <main>, with some text."""
     for tag in ("article", "main"):
         if sum(x.tag == tag for x in page.nodes) == 1:
-            drop = _below(page, lambda x: x.tag in ("nav", "aside", "footer", "form", "script", "style", "button"))
+            drop = _below(page, lambda x: x.tag in ("nav", "aside", "footer", "form", "script", "style", "button") or _boxed(x))
             label = _below(page, lambda x, tag=tag: x.tag == tag) & ~drop
             if any(label[node] for node, _, _ in page.runs):
                 return label
@@ -239,13 +246,18 @@ def extract(sources: list[str | None], model: trees.Trees | None) -> list[str]:
 
 
 def sample(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, html_col: str = "html") -> list[str]:
-    """At most ``sample_pages`` different pages, those with the lowest hash. All pages
-    are counted, so that only about as many as are wanted leave their tasks."""
+    """At most ``sample_pages`` different pages, those with the lowest hash. Different
+    pages are counted, so that only about as many as are wanted leave their tasks,
+    each once however often it occurs; if the count misled, all of them are ordered."""
     source = F.col(f"`{html_col}`").cast("string")
     rows = pages.select(source.alias("html"), F.shiftrightunsigned(F.xxhash64(source), 1).alias("h")).filter("html is not null")
-    share = min(1.0, (3.0 * sample_pages + 64) / max(1, rows.count()))
-    few = rows.filter(F.col("h") <= min(int(share * (1 << 63)), (1 << 63) - 1)).orderBy("h", "html").limit(2 * sample_pages).collect()
-    return list(dict.fromkeys(r["html"] for r in few))[:sample_pages]
+    different = rows.agg(F.approx_count_distinct("h").alias("n")).first()["n"]
+    share = min(1.0, (3.0 * sample_pages + 64) / max(1, different))
+    few = lambda some: (some.groupBy("h").agg(F.min("html").alias("html")).orderBy("h").limit(sample_pages).collect())
+    found = few(rows.filter(F.col("h") <= min(int(share * (1 << 63)), (1 << 63) - 1)))
+    if share < 1 and len(found) < sample_pages:
+        found = few(rows)
+    return [r["html"] for r in found]
 
 
 def main_text(pages: DataFrame, model: trees.Trees | None = None, html_col: str = "html",

@@ -8,9 +8,11 @@ space one-versus-rest ridge regression gives each language a linear score. Texts
 are scored a block at a time, as products of their presence matrix with the
 landmarks' and with the weights.
 
-The classifier is fitted on a sample of labelled rows bounded by ``sample_rows`` for
-each of at most ``max_languages`` languages; all labelled rows are counted, and the
-sample is the rows with the lowest hash of id and text.
+The classifier is fitted on a sample of labelled rows: ``sample_rows`` different
+texts of each language, less where languages are so many that they would be over
+``all_rows``, but one at least. The sample is the texts with the lowest hash; a text
+that many rows repeat is one of them. ``landmarks`` of each language are landmarks,
+in turn, up to ``all_landmarks``. Every label is learned.
 
 A text that is null or has no letter is ``und`` with score 0. Rows are judged one
 by one, so repeated rows agree. Without any labelled row every text is ``und``. An
@@ -28,6 +30,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 UNKNOWN = "und"
@@ -35,7 +39,7 @@ UNKNOWN = "und"
 SLOTS = 1 << 16
 ORDERS = (1, 2, 3)
 SAMPLE_ROWS, LANDMARKS, RIDGE, SHARPNESS = 300, 60, 1e-2, 6.0
-MAX_LANGUAGES = 500
+ALL_ROWS, ALL_LANDMARKS = 20_000, 1_000
 #: Texts scored in one matrix product, and characters of a text read at a time.
 BLOCK_ROWS, CHUNK_CHARS = 64, 1 << 20
 
@@ -65,56 +69,65 @@ class Classifier:
     sizes: np.ndarray  # root of the number of slots of each landmark
     weights: np.ndarray  # landmarks x languages
 
-    def folded(self) -> np.ndarray:
-        """Landmarks times weights, slots x languages: the product of a text's
-        presence with it is its kernels times the weights, bracketed the cheap way."""
-        return (self.landmarks.T.astype(np.float32) @ (self.weights / self.sizes[:, None])).astype(np.float32)
+    def folded(self) -> list[np.ndarray]:
+        """What a text's presence is multiplied with, one after the other: landmarks
+        and weights, or their product where that is smaller."""
+        factors = [self.landmarks.T.astype(np.float32), (self.weights / self.sizes[:, None]).astype(np.float32)]
+        return factors if len(self.languages) > len(self.landmarks) else [factors[0] @ factors[1]]
 
 
-def scores(present: np.ndarray, folded: np.ndarray) -> np.ndarray:
+def scores(present: np.ndarray, folded: list[np.ndarray]) -> np.ndarray:
     own = np.sqrt(np.maximum(present.sum(axis=1, dtype=np.float64), 1))
-    return (present.astype(np.float32) @ folded).astype(np.float64) / own[:, None]
+    out = present.astype(np.float32)
+    for factor in folded:
+        out = out @ factor
+    return out.astype(np.float64) / own[:, None]
 
 
-def fit(languages: list[str], labels: np.ndarray, present: np.ndarray, landmarks: int = LANDMARKS,
-        ridge: float = RIDGE) -> Classifier:
-    """Fits to a sample: ``labels`` index ``languages``, ``present`` has its rows."""
+def fit(languages: list[str], labels: np.ndarray, packed: np.ndarray, landmarks: int = LANDMARKS,
+        ridge: float = RIDGE, all_landmarks: int = ALL_LANDMARKS) -> Classifier:
+    """Fits to a sample: ``labels`` index ``languages``, ``packed`` has its rows'
+    presence as bits, of which a block at a time is unpacked."""
     root = lambda x: np.sqrt(np.maximum(x.sum(axis=1, dtype=np.float64), 1))
-    chosen = np.concatenate([np.flatnonzero(labels == k)[:landmarks] for k in range(len(languages))])
-    marks = present[chosen].astype(np.float32)
+    turn = np.zeros(len(labels), np.int64)  # how many rows of the same language come before
+    for k in range(len(languages)):
+        own = np.flatnonzero(labels == k)
+        turn[own] = np.arange(len(own))
+    chosen = np.lexsort((labels, turn))
+    chosen = np.sort(chosen[turn[chosen] < landmarks][:all_landmarks])
+    marks = np.unpackbits(packed[chosen], axis=1).astype(np.float32)
     among = (marks @ marks.T).astype(np.float64) / root(marks)[:, None] / root(marks)
     values, vectors = np.linalg.eigh(among)
     solid = values > values[-1] * 1e-6
     inverse_root = vectors[:, solid] / np.sqrt(values[solid])
-    common = np.concatenate([present[i:i + BLOCK_ROWS].astype(np.float32) @ marks.T for i in range(0, len(present), BLOCK_ROWS)])
-    features = common.astype(np.float64) / root(present)[:, None] / root(marks) @ inverse_root
+    common = np.concatenate([x @ marks.T / root(x)[:, None] for i in range(0, len(packed), BLOCK_ROWS)
+                             for x in [np.unpackbits(packed[i:i + BLOCK_ROWS], axis=1).astype(np.float32)]])
+    features = common / root(marks) @ inverse_root
     # every language weighs the same, however many rows it has
     weight = 1.0 / np.bincount(labels, minlength=len(languages))[labels]
     target = np.where(labels[:, None] == np.arange(len(languages)), 1.0, -1.0)
     system = features.T @ (features * weight[:, None]) + ridge * len(languages) / len(labels) * np.eye(features.shape[1])
     weights = inverse_root @ np.linalg.solve(system, features.T @ (target * weight[:, None]))
-    return Classifier(languages, present[chosen], root(marks), weights)
+    return Classifier(languages, marks.astype(np.uint8), root(marks), weights)
 
 
-def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, max_languages: int = MAX_LANGUAGES,
-          landmarks: int = LANDMARKS, id_col: str = "doc_id", text_col: str = "text",
-          lang_col: str = "lang") -> Classifier | None:
+def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, all_rows: int = ALL_ROWS,
+          landmarks: int = LANDMARKS, text_col: str = "text", lang_col: str = "lang") -> Classifier | None:
     """Learns from the rows of ``docs`` whose language is not null. The driver gets
-    the slots of at most ``sample_rows`` texts for each language."""
+    the slots of the sample."""
     text = F.col(f"`{text_col}`").cast("string")
-    order = F.xxhash64(F.col(f"`{id_col}`"), text)
-    rows = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), text.alias("text"), order.alias("order"))
+    rows = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), text.alias("text"), F.xxhash64(text).alias("order"))
     rows = rows.filter("lang is not null and text is not null")
-    counts = (rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang")
-              .limit(max_languages).collect())
-    if not counts:
+    counts = written(rows.groupBy("lang").agg(F.approx_count_distinct("order").alias("n")), "languages")
+    n_languages = counts.count()
+    if not n_languages:
         return None
-    # twice the share that gives the sample, by hash, leaves few rows to sort
-    share = {r["lang"]: min(1.0, 2.0 * sample_rows / r["n"] + 64.0 / r["n"]) for r in counts}
+    sample_rows = max(1, min(sample_rows, all_rows // n_languages))
+    # more than twice the share that gives the sample, by hash, leaves few texts to order
     part = F.shiftrightunsigned("order", 11) / F.lit(float(1 << 53))
-    limit = F.element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col("lang"))
-    near = rows.filter(part <= limit)
-    first = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("order", 1), "text")
+    near = rows.join(counts.withColumnRenamed("lang", "of"), F.col("lang") == F.col("of"))
+    near = near.filter(part * F.col("n") <= F.lit(2.0 * sample_rows + 64)).groupBy("lang", "order").agg(F.min("text").alias("text"))
+    first = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("order", 1))
     sample = near.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,9 +139,10 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, max_languages: int =
     got = sample.select("lang", "text", "k").mapInArrow(run, "lang string, k int, slots binary").collect()
     got.sort(key=lambda r: (r["lang"], r["k"]))
     languages = sorted({r["lang"] for r in got})
-    labels = np.array([languages.index(r["lang"]) for r in got])
-    present = np.unpackbits(np.frombuffer(b"".join(bytes(r["slots"]) for r in got), np.uint8).reshape(len(got), -1), axis=1)
-    return fit(languages, labels, present, landmarks)
+    number = {x: i for i, x in enumerate(languages)}
+    labels = np.array([number[r["lang"]] for r in got])
+    packed = np.frombuffer(b"".join(bytes(r["slots"]) for r in got), np.uint8).reshape(len(got), SLOTS // 8)
+    return fit(languages, labels, packed, landmarks)
 
 
 def predict(docs: DataFrame, model: Classifier | None, text_col: str = "text", keep_text: bool = True,

@@ -5,13 +5,16 @@ three-word sequences the one with the least hash is a fingerprint, so an unchang
 run of five words shares one with its template. The templates' fingerprints are
 an inverted index that goes with the job, as large as the templates are. Where a
 document's fingerprints meet a template's on nearby diagonals there is a candidate.
-A candidate is aligned word by word in a band around its diagonals: equal words
-score, unequal and missing ones cost. What the best alignment matches of the
-template is its coverage; a candidate below the least coverage is dropped, and of
-findings that overlap the one stays whose matched words exceed its missing ones most.
+Around each of its fingerprints in turn the text is aligned word by word with the
+template, in a band around the diagonals: equal words score, unequal and missing
+ones cost. What the best alignment matches of the template is its coverage. If that
+is enough it is a finding, and the words before and after it are aligned by
+themselves, so a notice that comes again and again is found each time. Of findings
+that overlap the one stays whose matched words exceed its missing ones most.
 
-A null or empty text has no findings. Rows are scanned one by one, so repeated rows
-give repeated findings. An empty table gives an empty result."""
+Spans count the words and characters of the text as it stands. A null or empty text
+has no findings. Rows are scanned one by one, so repeated rows give repeated
+findings. An empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -76,9 +79,9 @@ class Index:
         self.keys = np.array([r[0] for r in rows], np.uint64)
         self.template, self.at = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
 
-    def candidates(self, ids: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(template, least and greatest diagonal, first and last place) of the
-        fingerprints that meet on nearby diagonals."""
+    def candidates(self, ids: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(template, diagonals, places) of the fingerprints that meet on diagonals of
+        which neighbours are near, in the order of their places."""
         hashes = _hashes(ids)
         places = winnow(hashes)
         lo, hi = (np.searchsorted(self.keys, hashes[places], side) for side in ("left", "right"))
@@ -92,8 +95,11 @@ class Index:
         template, diagonal, place = template[order], diagonal[order], place[order]
         new = np.r_[True, (np.diff(template) != 0) | (np.diff(diagonal) > BAND)]
         start = np.flatnonzero(new)
-        return [(int(template[a]), int(diagonal[a]), int(diagonal[b - 1]), int(place[a:b].min()), int(place[a:b].max()))
-                for a, b in zip(start, np.r_[start[1:], len(order)], strict=True)]
+        out = []
+        for a, b in zip(start, np.r_[start[1:], len(order)], strict=True):
+            by_place = a + np.argsort(place[a:b], kind="stable")
+            out.append((int(template[a]), diagonal[by_place], place[by_place]))
+        return out
 
 
 def align(text: list[int], template: list[int], low: int, high: int) -> tuple[int, int, int]:
@@ -126,25 +132,47 @@ def align(text: list[int], template: list[int], low: int, high: int) -> tuple[in
     return best[1], best[2], best[3]
 
 
+def aligned(ids: np.ndarray, own: np.ndarray, diagonal: np.ndarray, place: np.ndarray,
+            least: float) -> list[tuple[int, int, int]]:
+    """(matched words, first word, end) of all alignments of a candidate that match
+    ``least`` words and do not overlap."""
+    found, parts = [], [(0, len(ids), 0, len(place))]  # words, and the fingerprints in them
+    reach, template = len(own) + BAND, own.tolist()
+    while parts:
+        a, b, i, j = parts.pop()
+        while i < j:
+            near = diagonal[i:i + int(np.searchsorted(place[i:j], place[i] + reach, "right"))]
+            start, stop = max(a, int(place[i]) - reach), min(b, int(place[i]) + reach + GRAM_WORDS)
+            matched, first, end = align(ids[start:stop].tolist(), template, int(near.min()) - start - BAND, int(near.max()) - start + BAND)
+            if matched >= least:
+                first, end = start + first, start + end
+                found.append((matched, first, end))
+                before, after = (i + int(np.searchsorted(place[i:j], *at)) for at in ((first - GRAM_WORDS, "right"), (end, "left")))
+                parts += [(a, first, i, before), (end, b, after, j)]
+                break
+            i += 1
+    return found
+
+
 def scan_text(text: str, index: Index, least_coverage: float = LEAST_COVERAGE) -> list[tuple]:
     """(template, coverage, matched, words of the template, first word, end, first
     character, end) of each finding, in text order."""
-    number = index.number
-    ids = np.array([number.get(w, 0) for w in WORD.findall(text.lower())], np.int64)
+    number, words = index.number, list(WORD.finditer(text))
+    ids = np.array([number.get(w[0].lower(), 0) for w in words], np.int64)
     found = []
-    for t, low, high, first, last in index.candidates(ids):
+    for t, diagonal, place in index.candidates(ids):
         own = index.texts[t]
-        a, b = max(0, first - len(own) - BAND), last + len(own) + BAND
-        matched, start, end = align(ids[a:b].tolist(), own.tolist(), low - a - BAND, high - a + BAND)
-        if matched >= least_coverage * len(own):
-            found.append((matched, 2 * matched - len(own), t, a + start, a + end))
+        found += [(matched, 2 * matched - len(own), t, a, b)
+                  for matched, a, b in aligned(ids, own, diagonal, place, least_coverage * len(own))]
     chosen: list[tuple] = []
+    taken = np.zeros(len(ids), bool)
     for f in sorted(found, key=lambda f: (-f[1], f[4] - f[3], f[2], f[3])):
-        if all(f[4] <= c[3] or c[4] <= f[3] for c in chosen):
+        if not taken[f[3]:f[4]].any():
+            taken[f[3]:f[4]] = True
             chosen.append(f)
     if not chosen:
         return []
-    spans = [m.span() for m in WORD.finditer(text.lower())]
+    spans = [m.span() for m in words]
     return [(index.names[t], matched / len(index.texts[t]), matched, len(index.texts[t]), a, b, spans[a][0], spans[b - 1][1])
             for matched, _, t, a, b in sorted(chosen, key=lambda c: c[3])]
 

@@ -9,8 +9,11 @@ more than the others.
 When a source is used follows its schedule: a multiplier of its weight that
 changes over training time from 0 to 1. The integral of the schedule says how much
 of the source's demand is met by then; inverted, it turns the cumulative words at
-a copy of a document into that copy's position in training. ``training_order``
-sorts the copies by position in range partitions.
+a copy of a document into that copy's position in training. ``curriculum`` sorts
+the copies by position in range partitions and numbers them, ``taken_words`` sums
+what the numbered copies take of each document, and ``training_order`` gives the
+documents themselves in that order. Rows are known by a number of their own, so
+repeated rows and rows with the same id are never grouped.
 
 A running sum over a source that holds a third of all rows is cut into slices of
 the hashed order, so no task gets more than a slice.
@@ -82,10 +85,12 @@ def mix(docs: DataFrame, budget: float = 1.5, limit: float = 2.0, weights: tuple
         schedules: tuple = SCHEDULES, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source") -> DataFrame:
     """A row per document: doc_id, source, size, source_size, target, taken, copies,
-    the positions of the copies, and ``row_key``."""
+    the positions of the copies, ``row_key``, and ``row``, the number of the row in
+    ``docs``, which later readers of ``docs`` agree on if it is a table."""
     rows = written(docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"),
-        words(F.col(f"`{text_col}`")).alias("size"), row_key(docs).alias("row_key")), "mix-sizes")
+        words(F.col(f"`{text_col}`")).alias("size"), row_key(docs).alias("row_key"),
+        F.monotonically_increasing_id().alias("row")), "mix-sizes")
     whole = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")).first()
     total, slices = whole["words"] or 0, max(1, -(-whole["n"] // SLICE_ROWS))
     hashed = F.xxhash64(F.lit(_SEED), "doc_id", "row_key")
@@ -104,7 +109,7 @@ def mix(docs: DataFrame, budget: float = 1.5, limit: float = 2.0, weights: tuple
         F.col("source").alias("p_source"), F.col("slice").alias("p_slice"), "before", "source_size", "kind", "target")
     placed = rows.join(part, rows["source"].eqNullSafe(part["p_source"]) & (rows["slice"] == part["p_slice"]))
 
-    inside = W.partitionBy("source", "slice").orderBy("order", "doc_id", "row_key").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("source", "slice").orderBy("order", "doc_id", "row_key", "row").rowsBetween(W.unboundedPreceding, 0)
     middle = F.col("before") + F.sum("size").over(inside) - F.col("size") / 2
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     placed = placed.withColumns({"middle": middle, "passes": passes.cast("int")})
@@ -122,19 +127,31 @@ def mix(docs: DataFrame, budget: float = 1.5, limit: float = 2.0, weights: tuple
         chosen = F.when(F.col("kind") == i, positions(points)).otherwise(chosen)
     return placed.select("doc_id", "source", "size", "source_size", "target",
                          (F.col("copies") * F.col("size")).alias("taken"), "copies",
-                         F.coalesce(chosen, F.array().cast("array<double>")).alias("positions"), "row_key")
+                         F.coalesce(chosen, F.array().cast("array<double>")).alias("positions"), "row_key", "row")
+
+
+def curriculum(mixed: DataFrame) -> DataFrame:
+    """A row per copy of ``mixed``: row, size, position, and its place in training,
+    ``at``, from 0: the copies sorted by position in range partitions."""
+    copies = mixed.select("row", "row_key", "size", F.explode("positions").alias("position"))
+    return numbered(copies, [F.col("position"), F.col("row_key"), F.col("row")], "at").drop("row_key")
+
+
+def taken_words(docs: DataFrame, **parameters) -> DataFrame:
+    """A row per document as ``mix`` has it, with ``taken`` and ``first_at``, the place
+    of its first copy in training, from the copies in the curriculum."""
+    mixed = written(mix(docs, **parameters), "mixed")
+    copies = curriculum(mixed).groupBy("row").agg(F.sum("size").alias("words"), F.min("at").alias("first_at"))
+    return mixed.drop("taken").join(copies, "row", "left").withColumn("taken", F.coalesce("words", F.lit(0))).drop("words", "row")
 
 
 def training_order(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` as the mix takes them: as many copies of each row as the mix has,
-    in range partitions by position, sorted within each. Columns as in ``docs``."""
-    plan = mix(docs, **parameters).filter("copies > 0")
-    plan = plan.groupBy("doc_id", "row_key").agg(F.flatten(F.collect_list("positions")).alias("__llm_positions"))
-    plan = plan.select(F.col("doc_id").alias("__llm_id"), F.col("row_key").alias("__llm_row"), "__llm_positions")
-    id_col = parameters.get("id_col", "doc_id")
-    own = docs.withColumn("__llm_key", row_key(docs))
-    one = own.dropDuplicates([id_col, "__llm_key"])
-    found = one.join(plan, one[f"`{id_col}`"].cast("long").eqNullSafe(F.col("__llm_id")) & (F.col("__llm_key") == F.col("__llm_row")))
-    copies = found.withColumn("__llm_position", F.explode("__llm_positions"))
-    ordered = copies.repartitionByRange("__llm_position", "__llm_key").sortWithinPartitions("__llm_position", "__llm_key")
-    return ordered.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` as the mix takes them: as many copies of each row as the mix has, in
+    range partitions by position, sorted within each. Columns as in ``docs``, which
+    must be a table in files, so that its rows have the same numbers again."""
+    plan = mix(docs, **parameters).filter("copies > 0").select(F.col("row").alias("__llm_row"), F.col("row_key").alias("__llm_key"),
+                                                               F.explode("positions").alias("__llm_position"))
+    own = docs.withColumn("__llm_own", F.monotonically_increasing_id())
+    copies = own.join(plan, F.col("__llm_own") == F.col("__llm_row"))
+    order = ["__llm_position", "__llm_key", "__llm_row"]
+    return copies.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -82,7 +82,7 @@ def _code_points_of(text: Column, characters: str) -> Column:
 
 def measures(text: Column, stop_words: tuple = ()) -> dict[str, Column]:
     """Counts of a text without nulls, by name."""
-    clean = F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    clean = F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
     words = F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, SPACE + "+"))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, " \t\r\x0b\x0c", "") != "")
     stop = [F.lit(w) for w in stop_words]

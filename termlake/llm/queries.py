@@ -59,8 +59,8 @@ def op9_simhash_near_dedup(spark, sf_dir):
 
 
 def op10_mixing(spark, sf_dir):
-    return mixing.mix(_table(spark, sf_dir, "documents")).select(
-        "doc_id", "size", "source_size", "target", "taken", F.array_min("positions").alias("first_position"))
+    return mixing.taken_words(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", F.array_min("positions").alias("first_position"), "first_at")
 
 
 def op11_nearest_neighbours(spark, sf_dir):

@@ -14,8 +14,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from termlake.llm import (components, dom, exact_dedup, html_extract, langid, license_scan, lm_score, mixing, packing,
-                          quality, queries, simhash, substring_dedup)
+from termlake.llm import (common, components, dom, exact_dedup, html_extract, langid, license_scan, lm_score, mixing,
+                          packing, quality, queries, simhash, substring_dedup, trees)
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -66,9 +66,56 @@ def test_language_id_held_out(spark, sf_dir, docs):
 def test_language_scores_equal_kernels():
     rng = np.random.default_rng(1)
     present = (rng.random((12, langid.SLOTS)) < 0.01).astype(np.uint8)
-    model = langid.fit(["a", "b"], np.array([0, 1] * 6), present, landmarks=3)
+    model = langid.fit(["a", "b"], np.array([0, 1] * 6), np.packbits(present, axis=1), landmarks=3)
     kernel = np.array([[(x & y).sum() / math.sqrt(x.sum() * y.sum()) for y in model.landmarks] for x in present])
     assert np.allclose(langid.scores(present, model.folded()), kernel @ model.weights, atol=1e-4)
+    many = langid.fit([f"l{k}" for k in range(12)], np.arange(12), np.packbits(present, axis=1), all_landmarks=5)
+    kernel = np.array([[(x & y).sum() / math.sqrt(x.sum() * y.sum()) for y in many.landmarks] for x in present])
+    assert len(many.landmarks) == 5 and len(many.folded()) == 2
+    assert np.allclose(langid.scores(present, many.folded()), kernel @ many.weights, atol=1e-4)
+
+
+def test_classifier_is_ridge_regression_in_the_landmarks_space():
+    """With every row a landmark, scores are those of kernel ridge regression."""
+    rng = np.random.default_rng(2)
+    present = (rng.random((10, langid.SLOTS)) < 0.01).astype(np.uint8)
+    labels = np.array([0, 1] * 5)
+    model = langid.fit(["a", "b"], labels, np.packbits(present, axis=1), landmarks=9, ridge=0.5)
+    sizes = np.sqrt(present.sum(axis=1))
+    kernel = (present.astype(float) @ present.T) / sizes[:, None] / sizes
+    target = np.where(labels[:, None] == [0, 1], 1.0, -1.0)
+    dual = np.linalg.solve(kernel + 0.5 * 2 / 10 * 5 * np.eye(10), target)  # each row weighs 1/5
+    assert np.allclose(langid.scores(present, model.folded()), kernel @ dual, atol=1e-4)
+
+
+def test_samples_survive_repeated_rows(spark):
+    rng = random.Random(1)
+    say = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(30))
+    for different in (1, 3):
+        texts = [(f"l{k}", say("abcd"[k:k + 2])) for k in range(different)]
+        rows = [(i, text, lang) for i, (lang, text) in enumerate(texts * (3000 // different))]
+        model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7))
+        assert model.languages == [x for x, _ in texts]
+        pages = [f"<html><body><nav>menu</nav><article><p>{say('abc')}.</p><p>{say('abc')}.</p></article></body></html>" for _ in range(different)]
+        table = spark.createDataFrame([(i, x) for i, x in enumerate(pages * (3000 // different))], "page_id long, html string")
+        assert sorted(html_extract.sample(table)) == sorted(pages)
+        assert all(r.text and "menu" not in r.text for r in html_extract.main_text(table).limit(50).collect())
+    varied = [(i, say("abcdef"), "varied") for i in range(900)] + [(1000 + i, "xyz zyx xzy " * 9, "same") for i in range(3000)]
+    docs = spark.createDataFrame(varied, "doc_id long, text string, lang string").repartition(5)
+    model = langid.train(docs)
+    assert model.languages == ["same", "varied"]
+    right = langid.predict(docs, model).agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert right > 0.99
+    odd = langid.train(docs, all_rows=2)
+    assert odd.languages == ["same", "varied"] and len(odd.landmarks) == 2
+
+
+def test_trees_fit_what_they_are_given():
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=(1500, 5)).astype(np.float32)
+    label = (rows[:, 1] > 0.3) ^ (rows[:, 3] < -0.2)
+    model = trees.fit(rows[:1000], label[:1000].astype(float))
+    assert ((model.margin(rows[1000:]) > 0) == label[1000:]).mean() > 0.95
 
 
 def test_language_id_odd_rows(docs, odd, none):
@@ -121,6 +168,12 @@ def test_parsing_odd_pages():
     assert every("<ul><li>x<li>y<ul><li>z</ul></ul>") == ["x", "y", "z"]
 
 
+def test_named_boxes_are_no_main_text():
+    page = dom.parse("<article><p>one two</p><div class='comments'><p>reader</p></div><section id='cookie-notice'>ok</section>"
+                     "<div class='story-body'><p>three</p></div></article>")
+    assert dom.lines(page, html_extract.own_labels(page).tolist()) == ["one two", "three"]
+
+
 def test_main_text_odd_rows(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<article><p>one"), (1, "u", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("own"))
@@ -152,6 +205,12 @@ def test_quality_counts(request, table):
     assert not any(r.kept and r.base_failed for r in out)
 
 
+def test_words_end_where_the_text_does(spark):
+    texts = ["a b \x85", "a b \u2028", "\u2029 a b", "a b\n", " \n\x85", "a\x85", "\x85 "]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.n_words for r in quality.quality(table).orderBy("doc_id").collect()] == [len(WORD.findall(t)) for t in texts]
+
+
 def test_quality_keeps_good_documents(spark, sf_dir, docs):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = quality.quality(docs).join(labels, "doc_id").filter("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")))
@@ -246,7 +305,7 @@ def test_parts_have_the_ids_of_whole_texts():
     pieces = ["a", "Don't", " ", "  ", "\n", "\n\n", "\t", "é", "12", "...", "　", "<|endoftext|>", "\0", "日本", "x's"]
     rng = random.Random(6)
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
-    want = [e.ids for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    want = [e.ids for e in coder.tokens.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [x.tolist() for x in coder.encode(texts)] == want
 
 
@@ -265,6 +324,17 @@ def test_planted_licenses():
         assert abs(found[6] - len(before) - 1) <= 30 and abs(found[7] - len(text) + len(" and more")) <= 30
 
 
+def test_repeated_notices_are_all_found():
+    index = license_scan.Index(license_scan.TEMPLATES)
+    notice, other = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0"
+    for n in (1, 2, 10, 200):
+        for between in (" ", " and then some other words here ", f" {other} "):
+            text = "İİ " + between.join([notice] * n)
+            mine = [f for f in license_scan.scan_text(text, index) if text[f[6]:f[7]].startswith("Released")]
+            places = [m.start() for m in re.finditer("Released", text)]
+            assert [f[6] for f in mine] == places and all(text[f[6]:f[7]] + "." == notice for f in mine)
+
+
 def test_banded_alignment_is_exact_in_its_band():
     rng = random.Random(9)
     for _ in range(60):
@@ -470,9 +540,26 @@ def test_mixing(request, table):
     assert all(abs(taken[s] - want[s]) <= largest[s] / 2 + 1 for s in sizes)
     again = mixing.mix(source.repartition(7)).collect()
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.row_key, tuple(r.positions))
-    assert sorted(out, key=key) == sorted(again, key=key)
-    order = mixing.training_order(source)
+    assert sorted((tuple(r)[:-1] for r in sorted(out, key=key)), key=str) == sorted((tuple(r)[:-1] for r in sorted(again, key=key)), key=str)
+    table = common.written(source, "mix-in")
+    order = mixing.training_order(table)
     assert order.columns == source.columns and order.count() == sum(r.copies for r in out)
+    by = {r.row: r for r in mixing.mix(table).collect()}
+    places = mixing.curriculum(mixing.mix(table)).orderBy("at").collect()
+    assert [p["at"] for p in places] == list(range(len(places)))
+    assert [p.position for p in places] == sorted(x for r in by.values() for x in r.positions)
+    totals = mixing.taken_words(table).collect()
+    pair = lambda r: (r.doc_id is None, r.doc_id or 0, r.row_key, r.taken)
+    assert sorted(map(pair, totals)) == sorted(map(pair, out))
+
+
+def test_map_columns_and_clashing_names(spark, odd):
+    clash = odd.withColumn("tags", F.create_map(F.lit("a"), F.col("source"))).withColumnsRenamed(
+        {"lang": "row", "source": "row_key"}).withColumn("source", F.lit("s")).withColumn("position", F.lit(1))
+    table = common.written(clash, "clash")
+    assert mixing.training_order(table).columns == clash.columns
+    assert mixing.taken_words(table).count() == simhash.near_duplicates(table).count() == table.count()
+    assert simhash.keep_one(table).columns == exact_dedup.keep_first(table).columns == clash.columns
 
 
 def test_slices_do_not_change_the_mix(docs, monkeypatch):

@@ -58,6 +58,22 @@ def test_stages(spark, sf_dir, table):
     assert fifth.length.sum() == sum(len(coder.encode(r.text).ids) + 1 for r in fourth.collect())
 
 
+def test_sequences_follow_the_training_order(spark, sf_dir):
+    """Over many files, which a reader deals out by size."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(6)
+    docs = written(docs, "order-in")
+    mixed = written(corpus_pipeline.mix(spark, docs, sf_dir).select("*"), "order-mixed")
+    assert len(mixed.inputFiles()) > 1
+    once = {r.doc_id: r.positions[0] for r in mixing.mix(docs).filter("copies = 1").collect()}
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        packed = corpus_pipeline.pack(spark, mixed, sf_dir).orderBy("sequence_id", "offset").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    seen = [once[r.doc_id] for r in packed if r.start == 0 and r.doc_id in once]
+    assert len(seen) > 50 and seen == sorted(seen)
+
+
 def test_empty_tables_pass(spark, sf_dir):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
@@ -69,3 +85,8 @@ def test_run_is_the_stages_in_turn(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "simhash_near_dedup", "mixing", "packing"]
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.count() > 0 and "ids_crc32" in out.columns
+    from pyspark.sql import functions as F
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).withColumn("tags", F.create_map(F.lit("a"), F.col("source")))
+    for _, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, sf_dir), "mapped")
+    assert docs.count() > 0
