@@ -10,6 +10,7 @@ import os
 import sys
 import tempfile
 from collections.abc import Callable
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,10 +32,10 @@ from termlake.schema import DOCUMENT_COLS
 from termlake.sources import files as fs
 from termlake.sources.ignore import apply_ignore, compile_rules
 
-try:  # the corpus operators are a part that can be left out
+if find_spec("corpus_pipeline") and find_spec("termlake.llm"):  # a part that can be left out
     import corpus_pipeline
     from termlake.llm import queries as llm
-except ImportError:
+else:
     llm = corpus_pipeline = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"

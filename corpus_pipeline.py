@@ -9,7 +9,8 @@ over Parquet tables in the shared folder:
 3. of near-duplicates one stays;
 4. sources are mixed to target weights along the curriculum, which repeats
    documents of small sources and leaves out some of large ones;
-5. what the mix takes is packed into sequences, in its order.
+5. what the mix takes is packed into sequences, in its order, which the files of
+   stage 4 hold: sequence numbers rise with the position in training.
 
 Empty tables pass through every stage; null texts end at the first."""
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termlake.llm import exact_dedup, langid, mixing, packing, simhash
-from termlake.llm.common import written
+from termlake.llm.common import in_file_order, written
 
 #: With four languages a guess scores 0.25; a plain text of one language over 0.9.
 MIN_SCORE = 0.4
@@ -44,7 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, packing.public_tokenizer())
+    return packing.pack(in_file_order(docs), packing.public_tokenizer())
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact), ("simhash_near_dedup", near), ("mixing", mix),
