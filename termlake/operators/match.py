@@ -14,6 +14,7 @@ from ..functions.fuzzy import within_distance
 from ..functions.text import glob_to_regex, whole_token
 from ..schema import KEY, TEXT_FIELDS
 from .conditions import Condition, Leaf, groups_of, leaves_of
+from .near import all_present, near_starts
 from .rank import FieldStats, bm25, combine, idf
 
 # A pattern that expands to at most this many terms is searched by those terms,
@@ -128,9 +129,7 @@ def near_counts(rows: DataFrame, leaf: Leaf) -> DataFrame:
     however long the document. Groups keep the document's key, so bucketed
     postings are not shuffled."""
     offs = [o for o, _ in leaf.words]
-    words = [w for _, w in leaf.words]
-    distinct = sorted(set(words))
-    repeated = len(distinct) < len(words)
+    distinct = sorted({w for _, w in leaf.words})
     width = max(64, leaf.bound + max(offs) - min(offs))
     pos = rows.filter(row_test(leaf, Resolved())).select(
         *KEY, "field", "term", "dl", F.explode("positions").alias("p"))
@@ -142,31 +141,9 @@ def near_counts(rows: DataFrame, leaf: Leaf) -> DataFrame:
         *[F.collect_list(F.when(F.col("term") == w, F.col("p"))).alias(f"p{i}")
           for i, w in enumerate(distinct)])
     place = {w: F.col(f"p{i}") for i, w in enumerate(distinct)}
-    grouped = grouped.filter(reduce(lambda a, b: a & b, (F.size(place[w]) > 0 for w in distinct)))
-
-    def follow(front: Column, off: int, word: str) -> Column:
-        def cost(s, p):
-            return s["cost"] + F.abs(p - off - s["q"])
-
-        def free(s, p):
-            return ~F.array_contains(s["used"], p) if repeated else F.lit(True)
-
-        def placed(s, p):
-            used = F.array_append(s["used"], p) if repeated else s["used"]
-            return F.struct((p - off).alias("q"), cost(s, p).alias("cost"), used.alias("used"))
-
-        return F.array_distinct(F.flatten(F.transform(front, lambda s: F.transform(
-            F.filter(place[word], lambda p: (cost(s, p) <= leaf.bound) & free(s, p)),
-            lambda p: placed(s, p)))))
-
-    def found(p0: Column) -> Column:
-        front = F.array(F.struct((p0 - offs[0]).alias("q"), F.lit(0).alias("cost"), F.array(p0).alias("used")))
-        for off, w in zip(offs[1:], words[1:]):
-            front = follow(front, off, w)
-        return F.size(front) > 0
-
-    starts = F.size(F.filter(place[words[0]],
-                             lambda p: (F.floor(p / width) == F.col("block")) & found(p)))
+    grouped = grouped.filter(all_present(place))
+    mine = F.filter(near_starts(place, leaf.words, leaf.bound), lambda p: F.floor(p / width) == F.col("block"))
+    starts = F.size(mine)
     return (grouped.select(*KEY, "field", "dl", starts.alias("n"))
             .groupBy(*KEY, "field").agg(F.first("dl").alias("dl"), F.sum("n").alias("tf"))
             .filter("tf > 0"))

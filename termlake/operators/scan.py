@@ -13,6 +13,7 @@ from ..functions.text import tokens
 from ..schema import TEXT_FIELDS
 from .conditions import Condition, Leaf, groups_of
 from .match import pattern_test, shift
+from .near import near_starts
 from .rank import group_flag
 
 def _positions(toks: Column, word: str) -> Column:
@@ -32,29 +33,11 @@ def _words_flag(leaf: Leaf, toks: Column) -> Column:
         for s in starts[1:]:
             out = F.array_intersect(out, s)
         return F.size(out) > 0
-    # A start is a position of the first word; follow every affordable placement.
-    front = F.transform(_positions(toks, words[0][1]), lambda p: F.struct(
-        (p - words[0][0]).alias("q"), F.lit(0).alias("cost"), F.array(p).alias("used")))
-    for off, w in words[1:]:
-        front = _follow(front, toks, off, w, leaf.bound)
-    return F.size(front) > 0
+    return F.size(near_starts({w: _positions(toks, w) for _, w in words}, words, leaf.bound)) > 0
 
 
-def _follow(front: Column, toks: Column, off: int, word: str, slop: int) -> Column:
-    """Extend every partial placement by the places of one more word. Only the
-    tokens within the slop that is left are looked at."""
-    def window(s):
-        left = slop - s["cost"]
-        return F.filter(F.sequence(F.greatest(s["q"] + off - left, F.lit(0)),
-                                   F.greatest(s["q"] + off + left, F.lit(0))),
-                        lambda p: (F.get(toks, p) == word) & ~F.array_contains(s["used"], p))
-
-    def extend(s, p):
-        cost = s["cost"] + F.abs(p - off - s["q"])
-        return F.struct((p - off).alias("q"), cost.alias("cost"), F.array_append(s["used"], p).alias("used"))
-
-    extended = F.flatten(F.transform(front, lambda s: F.transform(window(s), lambda p: extend(s, p))))
-    return F.filter(F.array_distinct(extended), lambda s: s["cost"] <= slop)
+def _repeats(leaf: Leaf) -> bool:
+    return leaf.is_near and len({w for _, w in leaf.words}) < len(leaf.words)
 
 
 def leaf_flag(leaf: Leaf, toks: dict[str, Column]) -> Column:
@@ -76,12 +59,19 @@ def scan(docs: DataFrame, condition: Condition) -> DataFrame:
     plain predicate, which the scan of the documents can push down."""
     groups = groups_of(condition)
 
+    # Proximity of a word with itself is settled ahead, outside of any lambda.
+    ahead = {l: f"__near{i}" for i, l in enumerate(dict.fromkeys(l for g in groups for l, _ in g)) if _repeats(l)}
+
     def flag(toks: dict[str, Column]) -> Column:
-        return reduce(lambda a, b: a | b, (group_flag(g, {l: leaf_flag(l, toks) for l, _ in g}) for g in groups))
+        return reduce(lambda a, b: a | b, (group_flag(g, {
+            l: F.col(ahead[l]) if l in ahead else leaf_flag(l, toks) for l, _ in g}) for g in groups))
 
     if not {l.kind for g in groups for l, _ in g} - {"all", "equal"}:
         return docs.filter(flag({}))
+    columns = docs.columns
+    for leaf, name in ahead.items():
+        docs = docs.withColumn(name, leaf_flag(leaf, {f: tokens(F.col(f)) for f in TEXT_FIELDS}))
     # The token arrays are bound as a lambda's variable: as a plain column the
     # optimizer would copy the tokenizer into every place that reads them.
     both = F.struct(*[tokens(F.col(f)).alias(f) for f in TEXT_FIELDS])
-    return docs.filter(F.exists(F.array(both), lambda d: flag({f: d[f] for f in TEXT_FIELDS})))
+    return docs.filter(F.exists(F.array(both), lambda d: flag({f: d[f] for f in TEXT_FIELDS}))).select(*[F.col(f"`{c}`") for c in columns])
