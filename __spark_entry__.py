@@ -24,6 +24,7 @@ from termlake.functions.fuzzy import edit_distance
 from termlake.functions.snippet import (best_window, snippet_fallback, snippet_highlight, snippet_text)
 from termlake.operators import postings as post
 from termlake.operators import sync
+from termlake.operators.many import query_rows
 from termlake.operators.rank import top_k
 from termlake.operators.scan import scan
 from termlake.plans import store as st
@@ -315,6 +316,33 @@ def search_many(spark, sf_dir):
     return collection(spark, sf_dir).search_many(queries, 20)
 
 
+MANY = {"near": tl.near("and of the", 4), "self": tl.near("the the", 3), "regex": tl.regex("th(e|at|is)[a-e]?"),
+        "phrase": tl.all_of(tl.phrase("of the"), tl.exclude(tl.term("der"))), "field": tl.match_field("ext", "md"),
+        "mixed": tl.any_of(tl.all_of(tl.term("the"), tl.phrase("of the")), tl.all_of(tl.wildcard("und*"), tl.exclude(tl.term("der"))),
+                           tl.exclude(tl.wildcard("e*"))),
+        "const": tl.any_of(tl.wildcard("und*"), tl.fuzzy("thet", 1)), "not": tl.all_of(tl.exclude(tl.term("the")), tl.exclude(tl.term("und"))),
+        "blank": None}
+
+
+def search_many_conditions(spark, sf_dir):
+    """Conditions of all kinds, and a blank one, in one result."""
+    return collection(spark, sf_dir).search_many(query_rows(spark, MANY.items()), 30)
+
+
+def empty_query(spark, sf_dir):
+    """Blank queries beside real ones: each source asks for its most frequent word of
+    at least six letters, and every other source, by number, for nothing."""
+    def make(root):
+        src = docs(spark, sf_dir).select(F.substring_index("path", "/", 1).alias("query_id"), F.explode(txt.tokens("content")).alias("word"))
+        counted = src.filter(F.char_length("word") >= 6).groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("n"))
+        best = counted.groupBy("query_id").agg(F.max_by("word", F.struct("n", "word")).alias("word"))
+        blank = F.regexp_extract("query_id", r"(\d+)", 1).cast("int") % 2 == 1
+        (best.select("query_id", F.lit(0).alias("grp"), F.when(blank, " ").otherwise(F.col("word")).alias("word"), F.lit(False).alias("negate"))
+         .write.parquet(root))
+        return root
+    return collection(spark, sf_dir).search_many(spark.read.parquet(_once(spark, sf_dir, "blank", make)), 20)
+
+
 def conversation_search(spark, sf_dir):
     """A search over another table: the turns of all conversations."""
     turns = _table(spark, sf_dir, "conversations").select(
@@ -430,7 +458,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["hit_projection"] = _hits(tl.match_field("filename", "txt"), 100)
     q["search_beyond_key_limit"] = _hits(T("the"), 100_000, "snippet")
     q["match_no_token"] = _matching(tl.all_of(T("und"), tl.exclude(T("!!!"))))
-    q["empty_query"] = lambda s, d: collection(s, d).search_text(None)
+    q["empty_query"] = empty_query
+    q["search_many_conditions"] = search_many_conditions
     q["search_many"] = search_many
     q["conversation_search"] = conversation_search
     q["page_scan"] = page_scan

@@ -327,8 +327,19 @@ def statements() -> dict[str, str]:
     o["get_collection"] = ("SELECT 'Docs en' AS name, 'docs-en' AS dir, 'en' AS folders, count(*) AS doc_count "
                            "FROM documents WHERE lang = 'en'")
     o["drop_collection"] = "SELECT DISTINCT 'Docs ' || lang AS name FROM documents WHERE lang IN ('en', 'de')"
-    o["empty_query"] = ("SELECT text AS path, text AS filename, text AS ext, n_chars AS size, n_chars AS modified, "
-                        "0.0::DOUBLE AS score, text AS snippet FROM documents WHERE false")
+    o["empty_query"] = (
+        f"WITH {MANY[:MANY.index('g1 AS')].rstrip().rstrip(',')}, "
+        "f AS (SELECT b.query_id, a.path, round(a.s, 6) AS score FROM best b JOIN ts2 a ON a.term = b.word "
+        "WHERE regexp_extract(query_id, '[0-9]+')::INT % 2 = 0) "
+        "SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank, path, score FROM f) "
+        "WHERE rank <= 20")
+    asked = {"near": scored(words_leaf(["and", "of", "the"], 4)), "self": scored(words_leaf(["the", "the"], 3)),
+             "regex": scored(pattern_leaf("regexp_full_match(term, 'th(e|at|is)[a-e]?')")), "field": scored(rows_leaf("ext = 'md'")),
+             "phrase": combined((["of_the"], ["der"])) + ALL_FOUND, "mixed": COMBINED + ALL_FOUND, "const": o["score_const"],
+             "not": combined((["every"], ["the", "und"])) + ALL_FOUND}
+    o["search_many_conditions"] = " UNION ALL ".join(
+        f"SELECT * FROM (SELECT '{name}' AS query_id, row_number() OVER (ORDER BY score DESC, path) AS rank, path, score FROM ({sql})) "
+        "WHERE rank <= 30" for name, sql in asked.items())
     # A fold over the names of a stem: the state is the list of directories given so far.
     taken = "list_contains(a.given, {})"
     free = (f"CASE WHEN NOT {taken.format('x.slug')} THEN x.slug ELSE x.slug || '-' || list_filter("

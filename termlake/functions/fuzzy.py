@@ -45,3 +45,23 @@ def within_distance(term: Column, stem: str, distance: int) -> Column:
     comes first so most terms never reach the edit distance."""
     near_len = F.abs(F.char_length(term) - F.lit(len(stem))) <= distance
     return F.when(near_len, edit_distance(term, stem, distance) <= distance).otherwise(False)
+
+
+def _swapped(word: Column) -> Column:
+    """All strings that one swap of neighbours makes of ``word``."""
+    swap = lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.lit(1)),
+                              F.substring(word, i, F.lit(1)), F.substring(word, i + 2, F.char_length(word)))
+    n = F.char_length(word)
+    return F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), swap)).otherwise(F.array().cast("array<string>"))
+
+
+def within_distance_of(term: Column, stem: Column, distance: Column) -> Column:
+    """``within_distance`` for stems and distances, at most 2, of a column."""
+    far = F.lit(9)
+    lev = lambda a, b: F.coalesce(F.nullif(F.levenshtein(a, b, 2), F.lit(-1)), far)
+    least = lambda values: F.coalesce(F.array_min(values), far)
+    of_stem = least(F.transform(_swapped(stem), lambda v: F.when(v == term, 1).otherwise(
+        F.least(lev(term, v) + 1, F.when(F.array_contains(_swapped(v), term), 2).otherwise(far)))))
+    of_term = least(F.transform(_swapped(term), lambda u: lev(stem, u) + 1))
+    near_len = F.abs(F.char_length(term) - F.char_length(stem)) <= distance
+    return F.when(near_len, F.least(lev(term, stem), of_stem, of_term) <= distance).otherwise(False)

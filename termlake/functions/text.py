@@ -115,6 +115,12 @@ def glob_to_regex(glob: str) -> str:
     return "".join(re.escape(p) if i % 2 == 0 else ".*" if p == "*" else "." for i, p in enumerate(parts))
 
 
+def glob_pattern(glob) -> Column:
+    """``glob_to_regex`` of a column of patterns."""
+    escaped = F.regexp_replace(_col(glob), r"([^\p{L}\p{N}*?])", r"\\$1")
+    return F.replace(F.replace(escaped, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit("."))
+
+
 def fuzzy_distance(digits: str) -> int:
     """Edit distance written after a word: 1 when absent or over 255, at most 2."""
     n = int(digits) if digits else 1

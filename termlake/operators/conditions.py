@@ -86,7 +86,9 @@ def wildcard(glob: str) -> Leaf:
 
 # Constructs a token pattern cannot use: it always matches a whole token, from
 # left to right, without looking around or back.
-_UNSUPPORTED = re.compile(r"\(\?(?:[=!>]|<[=!])|\\[1-9kbBAzZG]")
+UNSUPPORTED = r"\(\?(?:[=!>]|<[=!])|\\[1-9kbBAzZG]"
+#: Escapes and sets, outside of which an anchor is bare.
+BRACKETS, BARE_ANCHORS = r"\\.|\[\^?\]?[^\]]*\]", r"[\^$]"
 
 
 def regex(pattern: str) -> Leaf:
@@ -94,8 +96,8 @@ def regex(pattern: str) -> Leaf:
     lower-cased like the tokens, so ``\W`` means ``\w``."""
     pattern = pattern.lower()
     bare = re.sub(r"\\\\", "", pattern)
-    outside_sets = re.sub(r"\\.|\[\^?\]?[^\]]*\]", "", bare)
-    if _UNSUPPORTED.search(bare) or re.search(r"[\^$]", outside_sets):
+    outside_sets = re.sub(BRACKETS, "", bare)
+    if re.search(UNSUPPORTED, bare) or re.search(BARE_ANCHORS, outside_sets):
         raise ValueError(f"unsupported construct in pattern {pattern!r}")
     return Leaf("regex", pattern)
 

@@ -1,13 +1,17 @@
 """Collections: creation, full and incremental builds, and their statistics."""
 
+import collections
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import termlake as tl
-from termlake.operators import sync
+from termlake.functions.fuzzy import within_distance, within_distance_of
+from termlake.functions.text import glob_pattern, glob_to_regex
+from termlake.operators import many, sync
 from termlake.plans import collection as col
 from termlake.plans import store as st
 
@@ -163,10 +167,50 @@ def test_search_many_equals_single_searches(spark, sf_dir):
     for q, (_, condition) in asked.items():
         want = [(r.path, r.score) for r in coll.search(condition, 25).collect()]
         assert [(r.path, r.score) for r in got if r.query_id == q] == want
-    with pytest.raises(ValueError):
-        coll.search_many(spark.createDataFrame([("q", 1, "x", True)], queries.schema), 5)
-    with pytest.raises(Exception):
-        coll.search_many(spark.createDataFrame([("q", 1, "two words", False)], queries.schema), 5).collect()
+    with pytest.raises(Exception, match="no such kind"):
+        query = spark.createDataFrame([("q", 1, "sound", "x", False)], "query_id string, grp int, kind string, text string, negate boolean")
+        coll.search_many(query, 5).collect()
+
+
+MANY = {
+    "term": tl.term("the"), "two": tl.term("of-the"), "phrase": tl.phrase("that is the"), "near": tl.near("and of the", 4),
+    "self": tl.near("the the", 3), "glob": tl.wildcard("th?n"), "any": tl.wildcard("*"), "wide": tl.all_of(tl.wildcard("*t*"), tl.term("und")),
+    "regex": tl.regex("th(e|at|is)[a-e]?"), "fuzzy": tl.fuzzy("teh", 1), "fuzzy2": tl.fuzzy("wihch", 2), "all": tl.match_all(),
+    "ext": tl.match_field("ext", "md"), "name": tl.match_field("filename", "txt"), "path": tl.match_path("src1/1.txt"),
+    "not": tl.exclude(tl.term("the")), "nots": tl.all_of(tl.exclude(tl.term("the")), tl.exclude(tl.wildcard("u*"))),
+    "mixed": tl.any_of(tl.all_of(tl.term("the"), tl.phrase("of the")), tl.all_of(tl.wildcard("und*"), tl.exclude(tl.term("der"))),
+                       tl.exclude(tl.wildcard("e*"))),
+    "twice": tl.any_of(tl.term("und"), tl.all_of(tl.term("und"), tl.term("die"))), "none": tl.term("!!!"), "blank": None,
+}
+
+
+@pytest.mark.parametrize("limit", [1, 200_000])  # leaves broadcast, and joined
+def test_search_many_takes_every_condition(spark, sf_dir, limit, monkeypatch):
+    monkeypatch.setattr(many, "MAX_BROADCAST_LEAVES", limit)
+    coll = entry.collection(spark, sf_dir)
+    got = coll.search_many(many.query_rows(spark, MANY.items()), 15).collect()
+    found = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        found[r.query_id].append((r.path, r.score))
+    for name, condition in MANY.items():
+        alone = [] if condition is None else [(r.path, r.score) for r in coll.search(condition, 15).collect()]
+        assert found[name] == alone, name
+
+
+def test_patterns_of_columns_are_those_of_literals(spark):
+    stems, terms = ["teh", "a", "ca", "which", "thier", ""], ["the", "abc", "ac", "ca", "wihch", "their", "b", "", "ab", "hte", "whcih"]
+    rows = spark.createDataFrame([(s, t, d) for s in stems for t in terms for d in (1, 2)], "s string, t string, d int")
+    got = {(r.s, r.t, r.d): r.ok for r in rows.withColumn("ok", within_distance_of(F.col("t"), F.col("s"), F.col("d"))).collect()}
+    for s in stems:
+        for d in (1, 2):
+            alone = rows.filter((F.col("s") == s) & (F.col("d") == d)).withColumn("ok", within_distance(F.col("t"), s, d)).collect()
+            assert all(got[r.s, r.t, r.d] == r.ok for r in alone)
+    globs = ["a*", "?b", "a.b*", "(x)", "ä?", "*"]
+    pattern = spark.createDataFrame([(g,) for g in globs], "g string").withColumn("p", glob_pattern("g")).collect()
+    for r in pattern:
+        for text in ("ab", "a.bc", "(x)", "äb", "x", "axb"):
+            assert bool(re.fullmatch(r.p, text)) == bool(re.fullmatch(glob_to_regex(r.g), text))
+
 
 
 def test_limits(spark, sf_dir):
