@@ -41,7 +41,7 @@ from .tokens import ByteLevel, Memory
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Texts that are aligned in one go, and bytes of them.
-BATCH_TEXTS, BATCH_BYTES = 256, 1 << 21
+BATCH_TEXTS, BATCH_BYTES = 256, 1 << 20
 #: Pairs that a task gathers before it sends them to their buckets.
 GATHER_PAIRS = 1 << 18
 #: Bytes of text for each bucket of pairs, and the least and greatest number of buckets.

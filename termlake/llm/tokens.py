@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Pieces of text whose ids a worker remembers, in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 
 #: Fixed value: how byte-level tokenizers split a text before they merge.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
