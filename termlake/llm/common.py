@@ -59,8 +59,8 @@ def in_file_order(df: DataFrame) -> DataFrame:
         placed = df.withColumns({"__llm_file": F.col("_metadata.file_name"), "__llm_at": F.col("_metadata.row_index")})
     except AnalysisException:
         return df
-    number = lambda pattern: F.regexp_extract("__llm_file", pattern, 1).cast("long")
-    order = [number(r"part-(\d+)"), number(r"\.c(\d+)"), F.col("__llm_file"), F.col("__llm_at")]
+    number = lambda pattern: F.regexp_extract("__llm_file", pattern, 1).try_cast("long")
+    order = [number(r"part-(\d+)"), number(r"-c(\d+)"), F.col("__llm_file"), F.col("__llm_at")]
     return placed.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
