@@ -8,7 +8,11 @@ postings are sorted by term, so a search reads the row groups of its own terms.
 
 Each build adds a ``gen`` partition. A replaced or removed path is listed in
 ``tombstones``: its rows of older gens are dead. A small sync therefore writes
-as much as it changed; a large one writes the whole collection anew."""
+as much as it changed. It takes along the latest gens that are not much larger
+than itself: their live rows, tombstones and counts go into the new gen, bucket by
+bucket, as they are. So gens grow geometrically and stay few, each row is copied a
+number of times that grows with the logarithm of the changes, and the first gen,
+which has most rows, is left alone until too many of its rows are dead."""
 
 from __future__ import annotations
 
@@ -23,7 +27,7 @@ from ..functions.snippet import with_snippet
 from ..operators.conditions import Condition, groups_of, leaves_of
 from ..operators.many import search_many
 from ..operators.match import SearchTables, highlight_weights, matches, resolve
-from ..operators.postings import field_lengths, index_rows, text_rows
+from ..operators.postings import index_rows, text_rows
 from ..operators.rank import FieldStats, top_k
 from ..schema import DOCUMENT_COLS, HIT_COLS, KEY, TEXT_FIELDS
 from ..sources.files import path_exists
@@ -36,6 +40,7 @@ MIN_BUCKETS, MAX_BUCKETS = 8, 65536
 MAX_HITS_BY_KEY = 1000
 MAX_BROADCAST_PATHS = 200_000
 MAX_LITERAL_PATHS = 1000  # of replaced documents whose buckets alone are opened
+MERGE_FACTOR = 2  # a gen of up to this many times the rows goes into the new one
 
 TABLES = {
     "documents": ("path string, copy int, filename string, ext string, content string, "
@@ -63,9 +68,24 @@ class Version:
     buckets: int
     gens: tuple[int, ...]
     n_docs: int
-    n_tombstones: int
+    rows: tuple[int, ...]    # of each gen: documents
+    dead: tuple[int, ...]    # and tombstones
     lengths: tuple[tuple[str, int], ...]  # (field, total tokens)
 
+    @property
+    def n_tombstones(self) -> int:
+        return sum(self.dead)
+
+    def to_merge(self, size: int) -> tuple[int, ...]:
+        """The latest gens, but never the first, that a gen of ``size`` rows takes along."""
+        taken = []
+        for gen, own in list(zip(self.gens, map(sum, zip(self.rows, self.dead)), strict=True))[:0:-1]:
+            if own > MERGE_FACTOR * size:
+                break
+            taken.append(gen)
+            size += own
+        return tuple(taken)
+
 
 class Collection:
     def __init__(self, spark: SparkSession, location: str, version: Version):
@@ -102,12 +122,15 @@ class Collection:
         """Rows of committed builds; an interrupted build's gen is not listed."""
         return self.spark.table(self._table(kind)).filter(F.col("gen").isin(list(gens or self.version.gens)))
 
-    def _live(self, rows: DataFrame) -> DataFrame:
-        """Drop rows that a later build replaced or removed."""
-        if not self.version.n_tombstones:
+    def _live(self, rows: DataFrame, also: int | None = None, n_also: int = 0) -> DataFrame:
+        """Drop rows that a later build replaced or removed; ``also`` is a gen in the
+        making with ``n_also`` tombstones."""
+        n = self.version.n_tombstones + n_also
+        if not n:
             return rows
-        dead = self._rows("tombstones").groupBy("path").agg(F.max("gen").alias("_dead"))
-        if self.version.n_tombstones <= MAX_BROADCAST_PATHS:
+        dead = self._rows("tombstones", [*self.version.gens, *([also] if also else [])])
+        dead = dead.groupBy("path").agg(F.max("gen").alias("_dead"))
+        if n <= MAX_BROADCAST_PATHS:
             dead = F.broadcast(dead)
         dead = dead.withColumnRenamed("path", "_path")
         return rows.join(dead, (rows["path"] == dead["_path"]) & (rows["gen"] < dead["_dead"]), "left_anti")
@@ -126,7 +149,7 @@ class Collection:
         """(term, field, df); a term's rows add up over builds."""
         return (self.spark.read.option("basePath", f"{self.base_dir}/vocab")
                 .schema("term string, field string, df bigint, gen bigint")
-                .parquet(f"{self.base_dir}/vocab").filter(F.col("gen").isin(list(self.version.gens))))
+                .parquet(f"{self.base_dir}/vocab").filter(F.col("gen").isin(list(self.version.gens)) & (F.col("term") != "")))
 
     def vocabulary(self) -> DataFrame:
         return self.vocab().groupBy("term", "field").agg(F.sum("df").alias("df")).filter("df > 0")
@@ -140,52 +163,72 @@ class Collection:
 
     # --- writing ------------------------------------------------------------
 
-    def write_gen(self, gen: int, docs: DataFrame, dead: DataFrame | None, n_bytes: int) -> Version:
-        """Add one build: fresh documents and the paths whose older rows die. The
-        only exchange of text is the one that puts documents into buckets."""
+    def write_gen(self, gen: int, docs: DataFrame, dead: DataFrame | None, n_bytes: int,
+                  merge: tuple[int, ...] = ()) -> Version:
+        """Add one build: fresh documents, the paths whose older rows die, and the gens
+        that it takes along. The only exchange of text is the one that puts fresh
+        documents into buckets; what is taken along is in its buckets already."""
         v = self.version
         parts = min(v.buckets, max(MIN_BUCKETS, power_of_two(n_bytes / BUCKET_BYTES)))
-        (docs.select("path", "copy", *DOCUMENT_COLS[1:], F.lit(gen).cast("bigint").alias("gen"))
-         .repartition(parts, "path").write.insertInto(self._table("documents")))
+        number = F.lit(gen).cast("bigint").alias("gen")
+        (docs.select("path", "copy", *DOCUMENT_COLS[1:], number).repartition(parts, "path")
+         .write.insertInto(self._table("documents")))
         fresh = self._rows("documents", [gen])
         index_rows(fresh).select("path", "copy", "term", "field", "tf", "positions", "dl", "gen").write.insertInto(
             self._table("postings"))
-        added = self._rows("postings", [gen])
-        delta = text_rows(added).groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
-        lengths = {r.field: (r.n_docs, r.total_dl or 0) for r in field_lengths(added).collect()}
-        n_dead, old_lengths = 0, {}
+        n_dead = 0
         if dead is not None:
-            (dead.select("path", F.lit(gen).cast("bigint").alias("gen")).repartition(parts, "path")
-             .write.insertInto(self._table("tombstones")))
-            now_dead = self._rows("tombstones", [gen]).select("path")
-            n_dead = now_dead.count()
+            dead.select("path", number).repartition(parts, "path").write.insertInto(self._table("tombstones"))
+            n_dead = self._rows("tombstones", [gen]).count()
+
+        # One table of what the build adds to the counts; rows with an empty term have the lengths.
+        counts = lambda rows, sign: rows.filter(F.col("field").isin(*TEXT_FIELDS)).select(
+            "term", "field", F.lit(sign).cast("bigint").alias("df"), (sign * F.col("dl")).cast("bigint").alias("total_dl"))
+        change = counts(self._rows("postings", [gen]), 1)
         if n_dead:
-            gone = self._counts_of(now_dead, n_dead)
-            gone.write.parquet(f"{self.base_dir}/gone/{gen}")  # read twice below
-            gone = self.spark.read.schema(gone.schema).parquet(f"{self.base_dir}/gone/{gen}")
-            old_lengths = {r.field: (r.n, r.total_dl or 0) for r in gone.filter("term = ''").collect()}
-            minus = text_rows(gone).select("term", "field", (-F.col("n")).alias("df"))
-            delta = delta.unionByName(minus).groupBy("term", "field").agg(F.sum("df").alias("df")).filter("df <> 0")
-        (delta.repartitionByRange("term").sortWithinPartitions("term", "field")
-         .write.mode("append").parquet(f"{self.base_dir}/vocab/gen={gen}"))
-        pick = lambda m, f, i: m.get(f, (0, 0))[i]
+            change = change.unionByName(counts(self._postings_of(self._rows("tombstones", [gen]).select("path"), n_dead), -1))
+        length = F.col("term") == ""
+        sums = [F.sum("df").alias("df"), F.sum(F.when(length, F.col("total_dl"))).alias("total_dl"),
+                F.sum(F.when(length & (F.col("df") > 0), F.col("df"))).alias("fresh")]
+        change = change.groupBy("term", "field").agg(*sums)
+        vocab = f"{self.base_dir}/vocab"
+        table = lambda *gens: self.spark.read.option("basePath", vocab).schema(
+            "term string, field string, df bigint, total_dl bigint, fresh bigint").parquet(*[f"{vocab}/gen={g}" for g in gens])
+        if merge:
+            change = (change.unionByName(table(*merge).filter("term <> ''").drop("gen")).groupBy("term", "field")
+                      .agg(F.sum("df").alias("df"), F.sum("total_dl").alias("total_dl"), F.sum("fresh").alias("fresh")))
+        (change.filter((F.col("df") != 0) | length).repartitionByRange("term").sortWithinPartitions("term", "field")
+         .write.mode("append").parquet(f"{vocab}/gen={gen}"))
+        own = {r.field: r for r in table(gen).filter(length).collect()}
+        value = lambda f, name: (own[f][name] or 0) if f in own else 0
+        n_docs = value("content", "fresh")
+        if merge:
+            self._take_along(gen, merge, n_dead)
+            n_docs, n_dead = (self._rows(kind, [gen]).count() for kind in ("documents", "tombstones"))
+        left = [i for i, g in enumerate(v.gens) if g not in merge]
         total = dict(v.lengths)
-        return Version(
-            v.base, v.buckets, (*v.gens, gen),
-            v.n_docs + pick(lengths, "content", 0) - pick(old_lengths, "content", 0),
-            v.n_tombstones + n_dead,
-            tuple((f, total.get(f, 0) + pick(lengths, f, 1) - pick(old_lengths, f, 1)) for f in TEXT_FIELDS))
-
-    def _counts_of(self, paths: DataFrame, n: int) -> DataFrame:
-        """(term, field, n, total_dl): what documents had counted for, from their own
-        postings. No text is read, and for few paths only their buckets."""
+        return Version(v.base, v.buckets, (*(v.gens[i] for i in left), gen), v.n_docs + value("content", "df"),
+                       (*(v.rows[i] for i in left), n_docs), (*(v.dead[i] for i in left), n_dead),
+                       tuple((f, total.get(f, 0) + value(f, "total_dl")) for f in TEXT_FIELDS))
+
+    def _take_along(self, gen: int, merge: tuple[int, ...], n_dead: int) -> None:
+        """Append the live rows and the tombstones of the gens ``merge`` to ``gen``. They
+        are read from their buckets and written to the same ones, without an exchange."""
+        number = F.lit(gen).cast("bigint").alias("gen")
+        for kind in ("documents", "postings"):
+            rows = self._live(self._rows(kind, merge), gen, n_dead)
+            rows.select(*[c for c in rows.columns if c != "gen"], number).write.insertInto(self._table(kind))
+        new = self._rows("tombstones", [gen]).select("path")
+        old = self._rows("tombstones", merge).select("path").distinct().join(new, "path", "left_anti")
+        old.select("path", number).write.insertInto(self._table("tombstones"))
+
+    def _postings_of(self, paths: DataFrame, n: int) -> DataFrame:
+        """(term, field, dl) rows of documents that die. No text is read, and for few
+        paths only their buckets."""
         rows = self._live(self._rows("postings").select("path", "gen", "term", "field", "dl"))
         if n <= MAX_LITERAL_PATHS:
-            rows = rows.filter(F.col("path").isin([r.path for r in paths.collect()]))
-        else:
-            rows = rows.join(F.broadcast(paths) if n <= MAX_BROADCAST_PATHS else paths, "path", "left_semi")
-        return (rows.filter(F.col("field").isin(*TEXT_FIELDS)).groupBy("term", "field")
-                .agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total_dl")))
+            return rows.filter(F.col("path").isin([r.path for r in paths.collect()]))
+        return rows.join(F.broadcast(paths) if n <= MAX_BROADCAST_PATHS else paths, "path", "left_semi")
 
     # --- searching ----------------------------------------------------------
 
@@ -249,4 +292,4 @@ def hit_projection(hits: DataFrame) -> DataFrame:
 
 
 def empty_version(base: int, text_bytes: int) -> Version:
-    return Version(base, bucket_count(text_bytes), (), 0, 0, tuple((f, 0) for f in TEXT_FIELDS))
+    return Version(base, bucket_count(text_bytes), (), 0, (), (), tuple((f, 0) for f in TEXT_FIELDS))

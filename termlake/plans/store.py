@@ -27,15 +27,15 @@ from .collection import MAX_BROADCAST_PATHS, Collection, Version, bucket_count,
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
 
 MANIFEST = ("name string, dir string, folders array<string>, doc_count bigint, last_built bigint, "
-            "base bigint, previous_base bigint, buckets int, gens array<bigint>, n_tombstones bigint, "
-            "lengths map<string,bigint>, seq bigint, dropped boolean")
+            "base bigint, previous_base bigint, buckets int, gens array<bigint>, gen_rows array<bigint>, gen_dead array<bigint>, "
+            "retired array<bigint>, lengths map<string,bigint>, seq bigint, dropped boolean")
 INFO_COLS = ["name", "dir", "folders", "doc_count", "last_built"]
 
-# Above this share of dead or fresh documents a sync writes a new base.
-REWRITE_SHARE = 0.3
-# With more builds, or with text for this many times its buckets, a sync writes
-# a new base too, with as many buckets as the text then needs.
-MAX_GENS = 12
+# Above this share of dead or fresh documents a sync writes a new base, so a base is
+# written anew only after half as many documents changed as it holds.
+REWRITE_SHARE = 0.5
+# With text for this many times its buckets a sync writes a new base too, with as
+# many buckets as the text then needs.
 MAX_BUCKET_GROWTH = 2
 MAX_TIME_RANGES = 500
 
@@ -131,7 +131,7 @@ class CollectionStore:
         while path_exists(self.spark, f"{self.root}/{(free := first_free(slug, taken, counter))}"):
             taken.add(free)
         self._save(dict(name=name, dir=free, folders=list(folders), doc_count=0, gens=[],
-                        n_tombstones=0, lengths={}, dropped=False))
+                        gen_rows=[], gen_dead=[], retired=[], lengths={}, dropped=False))
         return self.get(name)
 
     def drop(self, name: str) -> None:
@@ -149,7 +149,7 @@ class CollectionStore:
     # --- opening ------------------------------------------------------------
 
     def _collection(self, row: Row) -> Collection:
-        version = Version(row.base, row.buckets, tuple(row.gens), row.doc_count, row.n_tombstones,
+        version = Version(row.base, row.buckets, tuple(row.gens), row.doc_count, tuple(row.gen_rows), tuple(row.gen_dead),
                           tuple(sorted(row.lengths.items())))
         return Collection(self.spark, f"{self.root}/{row.dir}", version)
 
@@ -165,13 +165,19 @@ class CollectionStore:
         return max([int(time.time() * 1000), *((g + 1) for g in row.gens or [])])
 
     def _commit(self, row: Row, version: Version) -> None:
-        """Switch to the new version. The base before last is deleted, so searches
-        that still run on the former one can finish."""
+        """Switch to the new version. The base before last is deleted, and so are gens
+        that went into another one before last, so searches that still run on the
+        former version can finish."""
         rebased = version.base != row.base
+        merged = [] if rebased else [g for g in row.gens if g not in version.gens]
         self._save({**row.asDict(), "doc_count": version.n_docs, "last_built": int(time.time() * 1000),
                     "base": version.base, "previous_base": row.base if rebased else row.previous_base,
                     "buckets": version.buckets, "gens": list(version.gens),
-                    "n_tombstones": version.n_tombstones, "lengths": dict(version.lengths)})
+                    "gen_rows": list(version.rows), "gen_dead": list(version.dead), "retired": merged,
+                    "lengths": dict(version.lengths)})
+        for gen in row.retired if row.base is not None and version.gens != tuple(row.gens) else ():
+            for kind in ("documents", "postings", "tombstones", "vocab"):
+                self._delete(f"{self.root}/{row.dir}/{row.base}/{kind}/gen={gen}")
         if rebased and row.previous_base is not None:
             self._delete(f"{self.root}/{row.dir}/{row.previous_base}")
 
@@ -318,19 +324,19 @@ class CollectionStore:
             dead = changed_rows.filter("stored").select("path").unionByName(removed).distinct()
             live = max(old.version.n_docs, 1)
             changes = n.changed or n_removed
-            outgrown = changes and (len(old.version.gens) >= MAX_GENS or
-                                    bucket_count(n.bytes or 0) >= MAX_BUCKET_GROWTH * old.version.buckets)
+            outgrown = changes and bucket_count(n.bytes or 0) >= MAX_BUCKET_GROWTH * old.version.buckets
             if outgrown or (n.changed + n_removed + old.version.n_tombstones) / live > REWRITE_SHARE:
                 kept = old.keyed_documents().join(dead, "path", "left_anti").select("path", "copy", *DOCUMENT_COLS[1:])
                 version = self._rebase(row, gen, kept.unionByName(docs.select(*kept.columns)), n.bytes or 0)
             elif changes:
-                version = old.write_gen(gen, docs, dead, n.changed_bytes or 0)
+                size = n.changed + n.replaced + n_removed
+                version = old.write_gen(gen, docs, dead, n.changed_bytes or 0, old.version.to_merge(size))
             else:
                 version = old.version
         indexed = 0
-        if n.changed:
+        if n.changed:  # paths only, in the buckets that both are in
             built = Collection(self.spark, f"{self.root}/{row.dir}", version)
-            fresh = built.documents().select("path").distinct()
+            fresh = built._rows("documents", version.gens[-1:]).select("path").distinct()
             indexed = changed_rows.select("path").join(fresh, "path", "left_semi").count()
         self._commit(row, version)
         self._delete(work)
