@@ -130,3 +130,65 @@ def fuzzy_distance(digits: str) -> int:
 def whole_token(pattern: str) -> str:
     """Anchor a pattern to the whole token."""
     return rf"\A(?:{pattern})\z"
+
+
+GRAM = 3
+
+
+def grams_of(term) -> Column:
+    """The different runs of three characters in a term."""
+    t = _col(term)
+    starts = F.when(F.char_length(t) >= GRAM, F.sequence(F.lit(1), F.greatest(F.char_length(t) - (GRAM - 1), F.lit(1))))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(t, i, F.lit(GRAM))))
+
+
+def literal_runs(pattern: str) -> list[str]:
+    """Strings that every match of a regular expression holds: its letters and
+    digits outside of groups and sets, as far as none may be left out. With an
+    alternative outside of groups there are none, and none are looked for beside
+    flags, sets in sets and characters given by number."""
+    if re.search(r"\(\?[^:]|\[[^\]]*\[|\\[^dwsp\W]", pattern):
+        return []
+    runs, run, depth, i = [], "", 0, 0
+
+    def ends():
+        nonlocal run
+        runs.append(run)
+        run = ""
+
+    while i < len(pattern):
+        c, after = pattern[i], pattern[i + 1:i + 2]
+        if c == "\\":
+            ends()
+            i += 2
+            continue
+        if c == "[":
+            ends()
+            close = pattern.find("]", i + (3 if after == "^" else 2))
+            i = close + 1 if close > 0 else len(pattern)
+            continue
+        if c in "()":
+            ends()
+            depth += 1 if c == "(" else -1
+        elif c == "|" and depth == 0:
+            return []
+        elif c == "{":
+            ends()
+            close = pattern.find("}", i)
+            i = close + 1 if close > 0 else len(pattern)
+            continue
+        elif depth == 0 and c.isalnum() and after not in ("?", "*", "{"):
+            run += c
+            if after == "+":
+                ends()
+        else:
+            ends()
+        i += 1
+    ends()
+    return [r for r in runs if r]
+
+
+def required_gram(runs: list[str]) -> str | None:
+    """One run of three characters that a term must hold, from the longest string."""
+    best = max(runs, key=len, default="")
+    return best[:GRAM] if len(best) >= GRAM else None

@@ -4,14 +4,16 @@ before the top-k."""
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import AnalysisException, IllegalArgumentException, SparkRuntimeException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fuzzy import within_distance
-from ..functions.text import glob_to_regex, whole_token
+from ..functions.text import glob_to_regex, literal_runs, required_gram, whole_token
 from ..schema import KEY, TEXT_FIELDS
 from .conditions import Condition, Leaf, groups_of, leaves_of
 from .near import all_present, near_starts
@@ -27,10 +29,12 @@ ANY = lambda cols: reduce(lambda a, b: a | b, cols)
 @dataclass
 class SearchTables:
     """What a search reads. ``index`` are index rows, ``vocab`` (term, field, df)
-    where several rows of a term add up, ``stats`` the per-field statistics."""
+    where several rows of a term add up, ``stats`` the per-field statistics,
+    ``grams`` (gram, term) the content terms that hold a run of three characters."""
     index: DataFrame
     vocab: DataFrame
     stats: dict[str, FieldStats]
+    grams: DataFrame | None = None
 
 
 @dataclass
@@ -63,7 +67,17 @@ def _is_any(leaf: Leaf) -> bool:
     return leaf.kind == "glob" and not leaf.text.strip("*")
 
 
-def resolve(vocab: DataFrame, leaves: list[Leaf], max_expansion: int = MAX_EXPANSION) -> Resolved:
+def candidates(leaf: Leaf, vocab: DataFrame, grams: DataFrame | None) -> DataFrame:
+    """The content terms a pattern is tested on: those with three characters that it
+    demands, or all if it demands none. Grams are sorted, so few are read."""
+    runs = re.split(r"[*?]", leaf.text) if leaf.kind == "glob" else literal_runs(leaf.text) if leaf.kind == "regex" else []
+    gram = required_gram(runs)
+    if grams is None or gram is None:
+        return vocab.filter(F.col("field") == "content").select("term")
+    return grams.filter(F.col("gram") == gram).select("term")
+
+
+def resolve(vocab: DataFrame, leaves: list[Leaf], max_expansion: int = MAX_EXPANSION, grams: DataFrame | None = None) -> Resolved:
     out = Resolved()
     words = sorted({w for l in leaves if l.kind == "words" for _, w in l.words})
     if words:
@@ -72,17 +86,22 @@ def resolve(vocab: DataFrame, leaves: list[Leaf], max_expansion: int = MAX_EXPAN
     for leaf in leaves:
         if leaf.kind not in ("glob", "regex", "fuzzy") or _is_any(leaf) or _is_prefix(leaf):
             continue
-        try:
-            hits = (vocab.filter((F.col("field") == "content") & pattern_test(leaf, F.col("term")))
-                    .select("term").distinct().limit(max_expansion + 1).collect())
-        except Exception as e:
-            if leaf.kind == "regex" and "PATTERN" in str(e).upper():
-                raise ValueError(f"invalid pattern {leaf.text!r}") from e
-            raise
+        if leaf.kind == "regex":
+            check_pattern(vocab, leaf)
+        hits = (candidates(leaf, vocab, grams).filter(pattern_test(leaf, F.col("term")))
+                .distinct().limit(max_expansion + 1).collect())
         out.expansion[leaf] = sorted(r.term for r in hits) if len(hits) <= max_expansion else None
     return out
 
 
+def check_pattern(vocab: DataFrame, leaf: Leaf) -> None:
+    """Try a pattern on one word, so that a bad one is told whatever the tables hold."""
+    try:
+        vocab.sparkSession.range(1).select(F.rlike(F.concat(F.lit("a"), F.col("id")), F.lit(whole_token(leaf.text)))).collect()
+    except (AnalysisException, SparkRuntimeException, IllegalArgumentException) as e:
+        raise ValueError(f"invalid pattern {leaf.text!r}") from e
+
+
 def row_test(leaf: Leaf, res: Resolved) -> Column:
     """Does an index row bear on the condition?"""
     term, fld = F.col("term"), F.col("field")
@@ -153,7 +172,7 @@ def matches(tables: SearchTables, condition: Condition, res: Resolved | None = N
     """(path, copy, gen, score) of every matching document."""
     groups = groups_of(condition)
     leaves = leaves_of(groups)
-    res = res or resolve(tables.vocab, leaves)
+    res = res or resolve(tables.vocab, leaves, grams=tables.grams)
     stats = tables.stats
     rows = tables.index
     plain = [l for l in leaves if not l.is_near]

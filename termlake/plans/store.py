@@ -176,7 +176,7 @@ class CollectionStore:
                     "gen_rows": list(version.rows), "gen_dead": list(version.dead), "retired": merged,
                     "lengths": dict(version.lengths)})
         for gen in row.retired if row.base is not None and version.gens != tuple(row.gens) else ():
-            for kind in ("documents", "postings", "tombstones", "vocab"):
+            for kind in ("documents", "postings", "tombstones", "vocab", "grams"):
                 self._delete(f"{self.root}/{row.dir}/{row.base}/{kind}/gen={gen}")
         if rebased and row.previous_base is not None:
             self._delete(f"{self.root}/{row.dir}/{row.previous_base}")

@@ -1,5 +1,7 @@
 """What the physical plans must look like to hold at scale."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 import termlake as tl
 from termlake.operators.match import resolve
@@ -17,7 +19,7 @@ def test_search_does_not_shuffle_before_the_cut(spark, sf_dir):
     for c in (entry.SLICE, tl.phrase("of the"), tl.wildcard("th?n"), tl.near("the of", 3), tl.exclude(tl.term("the"))):
         p = plan(coll.matches(c))
         assert "Exchange" not in p and "Join" not in p, p
-        assert p.count("FileScan") == 1 and "In(term" in p or "EqualTo(term" in p
+        assert p.count("FileScan") == 1 and ("In(term" in p or "EqualTo(term" in p)
     p = plan(top_k(coll.matches(tl.term("the")), 50))
     assert "TakeOrderedAndProject" in p
 
@@ -33,9 +35,31 @@ def test_postings_need_no_shuffle_on_bucketed_documents(spark, sf_dir):
     assert "Exchange" not in plan(index_rows(entry.collection(spark, sf_dir).keyed_documents()))
 
 
-def test_hits_open_their_own_buckets(spark, sf_dir):
-    p = plan(entry.collection(spark, sf_dir).search(tl.match_path("src1/1.txt")))
-    assert "SelectedBucketsCount: 1 out of" in p or "In(path" in p or "EqualTo(path" in p
+def test_hits_open_their_own_buckets(spark, sf_dir, monkeypatch, tmp_path):
+    from termlake.plans import collection as col
+    monkeypatch.setattr(col, "SMALL_BUCKET_BYTES", 1024)
+    store = tl.CollectionStore(spark, str(tmp_path))
+    store.create("c", [])
+    store.build_from("c", entry.docs(spark, sf_dir))
+    assert store.open("c").version.buckets == 8
+    coll = store.open("c")
+    files = lambda df: {f.toPath().getName() for p in df._jdf.queryExecution().toRdd().partitions() for f in p.files()}
+    texts = coll._rows("documents")
+    assert len(files(texts)) == 8 and len(files(texts.filter(F.col("path").isin(["src1/1.txt"])))) == 1
+    p = plan(coll.search(tl.match_path("src1/1.txt")))
+    assert "EqualTo(path,src1/1.txt)" in p and p.count("FileScan") == 1, p
+
+
+def test_patterns_with_three_letters_read_their_grams_only(spark, sf_dir):
+    from termlake.operators.match import candidates, resolve
+    coll = entry.collection(spark, sf_dir)
+    leaves = [tl.wildcard("*tion*"), tl.wildcard("?hou?*"), tl.regex("th(e|at|is)[a-e]?"), tl.regex("[a-z]+tion(s|en)?"), tl.regex("whi.h|when"),
+              tl.wildcard("th?n"), tl.regex("abc?def"), tl.regex("x{0,2}the")]
+    with_grams, without = resolve(coll.vocab(), leaves, grams=coll.grams()), resolve(coll.vocab(), leaves)
+    assert with_grams.expansion == without.expansion and any(with_grams.expansion.values())
+    p = plan(candidates(leaves[0], coll.vocab(), coll.grams()))
+    assert "EqualTo(gram,tio)" in p and "/vocab" not in p
+    assert "/grams" not in plan(candidates(leaves[5], coll.vocab(), coll.grams()))
 
 
 def test_joins_of_a_sync_stay_in_their_buckets(spark, sf_dir, monkeypatch, tmp_path):

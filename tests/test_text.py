@@ -82,3 +82,17 @@ def test_snippet_choice(spark):
     assert got["a"] == "the <b>fox</b>" and got["b"] == "a cat &amp; mouse"
     assert got["c"].endswith("the <b>fox</b> ran") and len(got["c"]) <= 220 + 7
     assert {r.path: r.snippet for r in with_snippet(df, {}).collect()}["a"] == "the fox"
+
+
+def test_literal_runs_are_in_every_match():
+    import re
+
+    from termlake.functions.text import literal_runs
+    cases = {"abc": ["abc"], "abc?d": ["ab", "d"], "ab+c": ["ab", "c"], "a|bcd": [], "x(a|b)yz": ["x", "yz"], r"\dabc": ["abc"],
+             "[abc]def": ["def"], "[]x]ab": ["ab"], "[^]x]ab": ["ab"], "[a[bc]de]fgh": [], "(?x)ab#cde": [], r"\x41bc": [],
+             "ab{0,1}cd": ["a", "cd"], "ab{2}cd": ["a", "cd"], "a.c*de": ["a", "de"], "": []}
+    for pattern, runs in cases.items():
+        assert literal_runs(pattern) == runs, pattern
+        for text in ("abc", "abd", "abcd", "xayz", "1abc", "adef", "acd", "abbcd", "axde", "xab", "]ab"):
+            if re.fullmatch(pattern, text):
+                assert all(r in text for r in runs)
