@@ -31,6 +31,7 @@ from termlake.plans import store as st
 from termlake.plans.collection import Collection
 from termlake.schema import DOCUMENT_COLS
 from termlake.sources import files as fs
+from termlake.sources.hidden import _open_dir
 from termlake.sources.ignore import apply_ignore, compile_rules
 
 if find_spec("corpus_pipeline") and find_spec("termlake.llm"):  # a part that can be left out
@@ -211,12 +212,6 @@ def classified(spark, sf_dir):
     return sync.classify_changes(listing, sync.read_snapshot(stored_docs(spark, sf_dir)))
 
 
-def read_changed_only(spark, sf_dir):
-    changed = classified(spark, sf_dir).filter(F.col("status") == sync.CHANGED).select("path")
-    return (listed_docs(spark, sf_dir).join(changed, "path", "left_semi")
-            .select("path", "size", F.char_length("content").cast("bigint").alias("chars")))
-
-
 def upsert_documents(spark, sf_dir):
     changed = classified(spark, sf_dir).filter(F.col("status") == sync.CHANGED).select("path")
     fresh = listed_docs(spark, sf_dir).join(changed, "path", "left_semi")
@@ -242,9 +237,89 @@ def build_collection(spark, sf_dir):
     return store.list().select("name", "dir", "doc_count")
 
 
+# --- the corpus as real files --------------------------------------------------
+
+def put_files(rows: DataFrame, root: str) -> None:
+    """Write each (path, content) as a file under ``root``, in tasks."""
+    def put(frames):
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"]):
+                filesystem, inner, _ = _open_dir(f"{root}/{path}")
+                filesystem.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                with filesystem.open_output_stream(inner) as out:
+                    out.write((content or "").encode())
+            yield frame[["path"]]
+    rows.select("path", "content").mapInPandas(put, "path string").count()
+
+
+def file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file for each of ``documents``, every eleventh with a hidden name."""
+    dot = F.when(F.col("doc_id") % 11 == 0, ".").otherwise("")
+    return corpus(spark, sf_dir).withColumn("filename", F.concat(dot, "filename")).withColumn(
+        "path", F.concat_ws("/", F.substring_index("path", "/", 1), "filename"))
+
+
+def files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with these files, and ignore files in some of its folders."""
+    def make(root):
+        put_files(file_rows(spark, sf_dir), f"{root}/files")
+        lines = [("src1/.gitignore", "*.log\n"), ("src2/.gitignore", "# texts\n/1*.txt\n!*3.txt\n"), ("src3/.ignore", "*.md\n")]
+        put_files(spark.createDataFrame(lines, "path string, content string"), f"{root}/files")
+        return f"{root}/files"
+    return _once(spark, sf_dir, "files", make)
+
+
+def _inside(path="path"):
+    return F.regexp_extract(path, r"/files/(.*)\z", 1)
+
+
+def scan_files(spark, sf_dir):
+    found = fs.scan_files(spark, [files(spark, sf_dir)])
+    return found.select(_inside().alias("path"), txt.ext_of("path").alias("ext"), "length")
+
+
 def build_full(spark, sf_dir):
-    return collection(spark, sf_dir).documents().select(
-        "path", "filename", "ext", "modified", "size", F.char_length("content").cast("bigint").alias("chars"))
+    """Everything in the folder anew: hidden files too, less what ignore files exclude."""
+    folder = files(spark, sf_dir)
+
+    def make(root):
+        store = tl.CollectionStore(spark, root)
+        store.create("Files", [folder])
+        store.build_full("Files")
+        return store
+    rows = _once(spark, sf_dir, "full", make).open("Files").documents()
+    return rows.select(_inside().alias("path"), "filename", "ext", "size", F.char_length("content").cast("bigint").alias("chars"))
+
+
+def changed_files(spark: SparkSession, sf_dir: str) -> tuple[tl.CollectionStore, list[dict]]:
+    """A folder that is built, changed and synced: some files are written anew, and
+    some come to it."""
+    def make(root):
+        rows = file_rows(spark, sf_dir)
+        put_files(rows, f"{root}/files")
+        store = tl.CollectionStore(spark, f"{root}/store")
+        store.create("Files", [f"{root}/files"])
+        first = store.build("Files")
+        again = rows.filter("doc_id % 7 = 0").withColumn("content", F.concat("content", F.lit(" again")))
+        more = rows.filter("doc_id % 10 = 0").withColumn("path", F.concat(F.lit("more/"), "path"))
+        put_files(again.unionByName(more), f"{root}/files")
+        return store, [first, store.build("Files")]
+    return _once(spark, sf_dir, "changed-files", make)
+
+
+def read_changed_only(spark, sf_dir):
+    """The files that the second sync read: those of its own gen."""
+    coll = changed_files(spark, sf_dir)[0].open("Files")
+    rows = coll._rows("documents", coll.version.gens[-1:])
+    return rows.select(_inside().alias("path"), "size", F.char_length("content").cast("bigint").alias("chars"))
+
+
+def build_files(spark, sf_dir):
+    """What is in the collection after both syncs, with what a search finds."""
+    coll = changed_files(spark, sf_dir)[0].open("Files")
+    hits = coll.matches(tl.term("again")).select("path", F.lit(True).alias("hit"))
+    return coll.documents().join(hits, "path", "left").select(
+        _inside().alias("path"), "filename", "ext", "size", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
 def field_stats(spark, sf_dir):
@@ -412,8 +487,7 @@ HIT_SLICE = tl.any_of(T("worthless"), tl.all_of(T("und"), tl.phrase("of the")))
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     # sources
-    q["scan_files"] = lambda s, d: fs.scan_files(s, [d]).select(
-        txt.filename_of("path").alias("filename"), txt.ext_of("path").alias("ext"), "length")
+    q["scan_files"] = scan_files
     q["ignore_rules"] = ignore_rules
     q["ext_of"] = lambda s, d: _table(s, d, "pages").select("url", txt.ext_of("url").alias("ext"))
     q["filename_of"] = lambda s, d: _table(s, d, "pages").select("url", txt.filename_of("url").alias("filename"))
@@ -479,6 +553,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["drop_collection"] = lambda s, d: by_language(s, d).list().select("name")
     q["unique_dir"] = unique_dir
     q["build_collection"] = build_collection
+    q["build_files"] = build_files
     q["create_collection"] = lambda s, d: synced(s, d)[0].list().select("name", F.array_join("folders", ",").alias("folders"))
     q["load_collection"] = lambda s, d: collection(s, d).postings().select("term", "field", "path", "tf", "dl")
     if llm:

@@ -227,13 +227,24 @@ def statements() -> dict[str, str]:
                       "ELSE content END AS content, modified, size FROM v WHERE ext <> 'bin' AND size <= 50000 "
                       "AND NOT (doc_id % 5 = 0 AND size < 8192)")
     o["mtime_millis"] = "SELECT event_id, coalesce(epoch_us(ts) // 1000, 0) AS modified FROM events"
-    o["build_full"] = (f"WITH {CORPUS} SELECT path, filename, ext, modified, size, length(content) AS chars FROM v")
+    ignored = ("(source = 'src1' AND ext = 'log') OR (source = 'src3' AND ext = 'md') "
+               "OR (source = 'src2' AND filename LIKE '1%.txt' AND filename NOT LIKE '%3.txt')")
+    named = ("f AS (SELECT *, source || '/' || name AS place FROM (SELECT *, (CASE WHEN doc_id % 11 = 0 THEN '.' ELSE '' END) || filename "
+             "AS name FROM v))")
+    o["scan_files"] = f"WITH {CORPUS}, {named} SELECT place AS path, ext, size AS length FROM f WHERE doc_id % 11 <> 0"
+    o["build_full"] = (f"WITH {CORPUS}, {named} SELECT place AS path, name AS filename, ext, size, length(content) AS chars FROM f "
+                       f"WHERE ext <> 'bin' AND NOT ({ignored.replace('filename', 'name')})")
+    synced = (f"{CORPUS}, {named}, now AS (SELECT place AS path, name, ext, doc_id % 7 = 0 AS changed, "
+              "content || CASE WHEN doc_id % 7 = 0 THEN ' again' ELSE '' END AS text FROM f WHERE ext <> 'bin' "
+              "UNION ALL SELECT 'more/' || place, name, ext, true, content FROM f WHERE ext <> 'bin' AND doc_id % 10 = 0)")
+    o["read_changed_only"] = f"WITH {synced} SELECT path, strlen(text) AS size, length(text) AS chars FROM now WHERE changed"
+    o["build_files"] = (f"WITH {synced} SELECT path, name AS filename, ext, strlen(text) AS size, "
+                        f"list_contains(regexp_extract_all(lower(text), '{TOKEN}'), 'again') AS hit FROM now")
     o["open_or_create"] = f"WITH {CORPUS} SELECT path, modified, size FROM v"
     o["read_snapshot"] = f"WITH {CORPUS} SELECT path, modified FROM v"
     o["count_docs"] = "SELECT count(*) AS n_docs FROM documents"
 
     o["classify_changes"] = f"WITH {SYNC} SELECT path, status FROM seen"
-    o["read_changed_only"] = f"WITH {SYNC} SELECT path, size, length(content) AS chars FROM fresh"
     o["upsert_documents"] = (f"WITH {SYNC} SELECT path, modified, size FROM stored WHERE path NOT IN "
                              "(SELECT path FROM fresh) UNION ALL SELECT path, modified, size FROM fresh")
     o["removed_documents"] = f"WITH {SYNC} SELECT path FROM removed"

@@ -51,7 +51,7 @@ def _list(frames: Iterator[pd.DataFrame], below_all: bool) -> Iterator[pd.DataFr
                     where, everything = todo.pop()
                     try:
                         entries = filesystem.get_file_info(fs.FileSelector(where))
-                    except OSError:
+                    except FileNotFoundError:  # gone since it was listed
                         continue
                     for e in entries:
                         wanted = everything or _is_hidden(e.base_name)
@@ -61,7 +61,7 @@ def _list(frames: Iterator[pd.DataFrame], below_all: bool) -> Iterator[pd.DataFr
                             out.append((prefix + e.path, None, 0, "dir"))
                         elif e.type == fs.FileType.File and wanted:
                             out.append((prefix + e.path, e.mtime, e.size, "file"))
-            except OSError:
+            except FileNotFoundError:
                 continue
             yield pd.DataFrame(out, columns=["path", "modificationTime", "length", "kind"]).astype(
                 {"modificationTime": "datetime64[ns, UTC]", "length": "int64"})
@@ -75,7 +75,7 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 filesystem, inner, _ = _open_dir(row["path"].iloc[0])
                 with filesystem.open_input_stream(inner) as f:
                     row["content"] = [f.read()]
-            except OSError:
+            except (FileNotFoundError, PermissionError):  # gone, or not ours to read
                 continue
             yield row
 
@@ -109,18 +109,29 @@ def read_hidden(files: DataFrame) -> DataFrame:
     return raw.mapInPandas(_read, raw.schema).select(*RAW_FILE.fieldNames(), "copy")
 
 
-def ignore_lines(spark: SparkSession, listed: DataFrame, name: str = ".gitignore") -> DataFrame:
-    """(dir, ord, line) of every ignore file beside or above a listed file."""
+#: Ignore files, the one that wins last: a rule of the second kind overrides those of
+#: the first in the same directory. The exclude file belongs to the directory that
+#: its repository is in, and loses to both.
+IGNORE_FILES = (".git/info/exclude", ".gitignore", ".ignore")
+
+
+def ignore_lines(spark: SparkSession, listed: DataFrame, names: tuple[str, ...] = IGNORE_FILES) -> DataFrame:
+    """(dir, ord, line) of every ignore file beside or above a listed file, in the order
+    in which they count. A file that is not there has no lines; one that cannot be
+    read is an error, as leaving it out would change what is indexed."""
     def read(frames):
         for frame in frames:
             for uri in frame["dir"]:
-                try:
-                    filesystem, inner, _ = _open_dir(f"{uri}/{name}")
-                    with filesystem.open_input_stream(inner) as f:
-                        text = f.read().decode("utf-8", "replace")
-                except OSError:
-                    continue
-                yield pd.DataFrame({"dir": uri, "ord": range(len(text.splitlines())), "line": text.splitlines()})
+                lines = []
+                for name in names:
+                    try:
+                        filesystem, inner, _ = _open_dir(f"{uri}/{name}")
+                        with filesystem.open_input_stream(inner) as f:
+                            lines += f.read().decode("utf-8", "replace").splitlines()
+                    except (FileNotFoundError, NotADirectoryError):
+                        continue
+                if lines:
+                    yield pd.DataFrame({"dir": uri, "ord": range(len(lines)), "line": lines})
 
     dirs = directories(listed).select("dir").distinct().filter(F.contains("dir", F.lit("/")))
     return dirs.repartition("dir").mapInPandas(read, "dir string, ord int, line string")

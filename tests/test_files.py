@@ -111,3 +111,21 @@ def test_legacy_text_is_windows_1252(spark):
     raw = bytes([0x93, 0x41, 0x94, 0x80, 0x81, 0xE9])
     frame = spark.createDataFrame([(bytearray(raw),)], "b binary")
     assert frame.select(decode_text("b")).first()[0] == "\u201cA\u201d\u20ac\x81\xe9"
+
+
+def test_ignore_files_and_their_precedence(spark, tmp_path):
+    """The exclude file loses to .gitignore, which loses to .ignore; deeper ones win."""
+    import os
+
+    import termlake as tl
+    src = tmp_path / "src"
+    for name, text in {"a.txt": "x", "b.txt": "x", "c.txt": "x", "d.txt": "x", "sub/a.txt": "x", "sub/e.txt": "x",
+                       ".git/info/exclude": "a.txt\nd.txt\n", ".gitignore": "!a.txt\nb.txt\nc.txt\n", ".ignore": "!c.txt\n",
+                       "sub/.gitignore": "a.txt\n", "sub/.ignore": "!a.txt\ne.txt\n"}.items():
+        os.makedirs((src / name).parent, exist_ok=True)
+        (src / name).write_text(text)
+    store = tl.CollectionStore(spark, str(tmp_path / "store"))
+    store.create("c", [str(src)])
+    store.build("c")
+    found = {r.path.split("/src/")[1] for r in store.open("c").documents().collect()}
+    assert found == {"a.txt", "c.txt", "sub/a.txt"}
