@@ -359,6 +359,25 @@ def by_language(spark: SparkSession, sf_dir: str) -> tl.CollectionStore:
     return _once(spark, sf_dir, "by-language", make)
 
 
+def by_source(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tl.CollectionStore]:
+    """A store with a collection for each source of ``documents``, as it was created, and
+    the store after every other one was dropped."""
+    def make(root):
+        store = tl.CollectionStore(spark, root)
+        names = [r.source for r in _table(spark, sf_dir, "documents").select("source").distinct().orderBy("source").collect()]
+        for name in names:
+            store.create(f"Docs: {name}", [name, f"more/{name}"])
+        store.list().write.parquet(f"{root}-created")
+        for name in names[::2]:
+            store.drop(f"Docs: {name}")
+        return spark.read.parquet(f"{root}-created"), store
+    return _once(spark, sf_dir, "by-source", make)
+
+
+def create_collection(spark, sf_dir):
+    return by_source(spark, sf_dir)[0].select("name", "dir", F.array_join("folders", ",").alias("folders"), "doc_count", "last_built")
+
+
 def get_collection(spark, sf_dir):
     row = by_language(spark, sf_dir).get("Docs en")
     return spark.createDataFrame([(row.name, row.dir, ",".join(row.folders), row.doc_count)],
@@ -550,11 +569,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     # manifest
     q["list_collections"] = _manifest
     q["get_collection"] = get_collection
-    q["drop_collection"] = lambda s, d: by_language(s, d).list().select("name")
+    q["drop_collection"] = lambda s, d: by_source(s, d)[1].list().select("name", "dir")
     q["unique_dir"] = unique_dir
     q["build_collection"] = build_collection
     q["build_files"] = build_files
-    q["create_collection"] = lambda s, d: synced(s, d)[0].list().select("name", F.array_join("folders", ",").alias("folders"))
+    q["create_collection"] = create_collection
     q["load_collection"] = lambda s, d: collection(s, d).postings().select("term", "field", "path", "tf", "dl")
     if llm:
         q |= llm.queries() | {"pipeline": corpus_pipeline.run}

@@ -337,7 +337,10 @@ def statements() -> dict[str, str]:
     o["list_collections"] = f"WITH {MANIFEST} SELECT name, dir, folders, doc_count, last_built FROM now"
     o["get_collection"] = ("SELECT 'Docs en' AS name, 'docs-en' AS dir, 'en' AS folders, count(*) AS doc_count "
                            "FROM documents WHERE lang = 'en'")
-    o["drop_collection"] = "SELECT DISTINCT 'Docs ' || lang AS name FROM documents WHERE lang IN ('en', 'de')"
+    made = ("(SELECT 'Docs: ' || source AS name, 'docs-' || lower(source) AS dir, source || ',more/' || source AS folders, "
+            "row_number() OVER (ORDER BY source) AS r FROM (SELECT DISTINCT source FROM documents))")
+    o["create_collection"] = f"SELECT name, dir, folders, 0::BIGINT AS doc_count, NULL::BIGINT AS last_built FROM {made}"
+    o["drop_collection"] = f"SELECT name, dir FROM {made} WHERE r % 2 = 0"
     o["empty_query"] = (
         f"WITH {MANY[:MANY.index('g1 AS')].rstrip().rstrip(',')}, "
         "f AS (SELECT b.query_id, a.path, round(a.s, 6) AS score FROM best b JOIN ts2 a ON a.term = b.word "
@@ -368,5 +371,4 @@ def statements() -> dict[str, str]:
         "SELECT unnest(names) AS name, unnest(ords) AS ord, unnest(r.given) AS dir FROM f")
     o["build_collection"] = (f"WITH {SYNC} SELECT 'Synced' AS name, 'synced' AS dir, count(*) AS doc_count "
                              "FROM seen WHERE status <> 'ineligible'")
-    o["create_collection"] = "SELECT DISTINCT 'Synced' AS name, 'documents' AS folders FROM documents"
     return o
