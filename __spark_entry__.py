@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import sys
 import tempfile
+import uuid
 from collections.abc import Callable
 from importlib.util import find_spec
 
@@ -388,7 +389,8 @@ def unique_dir(spark, sf_dir):
     """Names of which many have the same slug, and some one with a number."""
     number = F.when(F.col("p_partkey") % 7 == 0, " 2").when(F.col("p_partkey") % 11 == 0, "-3").otherwise("")
     return st.unique_dirs(_table(spark, sf_dir, "part").select(
-        F.concat(F.substring_index("p_name", " ", 1), number).alias("name"), F.col("p_partkey").alias("ord")))
+        F.concat(F.substring_index("p_name", " ", 1), number).alias("name"), F.col("p_partkey").alias("ord")),
+        f"{shared_root(spark)}/names-{uuid.uuid4().hex}")
 
 
 def search_many(spark, sf_dir):

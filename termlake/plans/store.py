@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import mtime_millis, slugify
 from ..operators import sync
+from ..operators.naming import unique_dirs  # noqa: F401
 from ..operators.postings import with_key
 from ..schema import DOCUMENT_COLS
 from ..sources.files import (MAX_FILE_BYTES, disjoint_layers, documents as read_all, is_eligible, path_exists,
@@ -46,30 +47,6 @@ def current_manifest(log: DataFrame) -> DataFrame:
     return newest.select("r.*").filter(~F.col("dropped"))
 
 
-def unique_dirs(names: DataFrame) -> DataFrame:
-    """Directory of each of (name, ord), given in order of ord: its slug, or with
-    the first number from 2 that makes it free. Only slugs that agree without
-    numbers at their ends can clash, so these are taken one after the other, and
-    no others; a task goes through them as they come and keeps what is taken."""
-    stem = F.regexp_replace("slug", r"(?:-\d+)+$", "")
-    rows = names.select("name", "ord", slugify("name").alias("slug")).withColumn("stem", stem)
-
-    def assign(frames):
-        stem, taken, counter = None, set(), {}
-        for frame in frames:
-            dirs = []
-            for slug, own in zip(frame["slug"], frame["stem"]):
-                if own != stem:
-                    stem, taken, counter = own, set(), {}
-                dirs.append(first_free(slug, taken, counter))
-                taken.add(dirs[-1])
-            yield frame[["name", "ord"]].assign(dir=dirs)
-
-    sorted_rows = rows.repartition("stem").sortWithinPartitions("stem", "ord", "name")
-    kind = dict(names.dtypes)
-    return sorted_rows.mapInPandas(assign, f"name string, ord {kind['ord']}, dir string")
-
-
 def first_free(slug: str, taken, counter: dict[str, int]) -> str:
     """``slug``, or the first of slug-2, slug-3, … that is not taken. ``counter``
     remembers how far each slug has come, as nothing is ever given back."""
@@ -176,7 +153,7 @@ class CollectionStore:
                     "gen_rows": list(version.rows), "gen_dead": list(version.dead), "retired": merged,
                     "lengths": dict(version.lengths)})
         for gen in row.retired if row.base is not None and version.gens != tuple(row.gens) else ():
-            for kind in ("documents", "postings", "tombstones", "vocab", "grams"):
+            for kind in ("documents", "postings", "tombstones", "vocab", "grams", "rests"):
                 self._delete(f"{self.root}/{row.dir}/{row.base}/{kind}/gen={gen}")
         if rebased and row.previous_base is not None:
             self._delete(f"{self.root}/{row.dir}/{row.previous_base}")

@@ -2,6 +2,7 @@
 
 import collections
 import os
+import random
 import re
 
 import pytest
@@ -224,13 +225,42 @@ def test_limits(spark, sf_dir):
     assert small == large[:40]
 
 
-def test_directories_are_unique(spark):
+def test_directories_are_unique(spark, tmp_path):
     names = ["a", "A", "a-2", "a 2", "b-7", "a", "***", "***", "b-7", "a-2-2"]
     rows = spark.createDataFrame(list(enumerate(names)), "ord int, name string").repartition(3)
-    got = [r.dir for r in st.unique_dirs(rows).orderBy("ord").collect()]
+    got = [r.dir for r in st.unique_dirs(rows, str(tmp_path / "w")).orderBy("ord").collect()]
     assert got == ["a", "a-2", "a-2-2", "a-2-3", "b-7", "a-3", "index", "index-2", "b-7-2", "a-2-2-2"]
 
 
+def test_unique_dirs_equal_one_after_the_other(spark, tmp_path, monkeypatch):
+    """Also with blocks of three names, and slugs that are numbered forms of others."""
+    from termlake.operators import naming
+    monkeypatch.setattr(naming, "BLOCK", 3)
+    rng = random.Random(5)
+    for n_names in (40, 120):
+        ends = ["", "", "", "-2", "-3", "-4", "-5", " 2 2", "-2-3", "-02", "-1", "-7", "-2-2-2", "-99999999999999999999"]
+        names = [rng.choice(["a", "A!", "b", "c-9"]) + rng.choice(ends) for _ in range(n_names)] + ["", "--"]
+        rows = [(n, i if i % 9 else None) for i, n in enumerate(names)] + [("b", 3), ("b", 3)]
+        got = st.unique_dirs(spark.createDataFrame(rows, "name string, ord int").repartition(5), str(tmp_path / f"w{n_names}")).collect()
+        slug = lambda n: re.sub("[^a-z0-9]+", "-", n.lower()).strip("-") or "index"
+        taken, counter, want = set(), {}, []
+        for n, o in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0])):
+            want.append((n, o, st.first_free(slug(n), taken, counter)))
+            taken.add(want[-1][2])
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    empty = st.unique_dirs(spark.createDataFrame([], "name string, ord int"), str(tmp_path / "none"))
+    assert empty.collect() == [] and empty.columns == ["name", "ord", "dir"]
+    nulls = st.unique_dirs(spark.createDataFrame([(None, 1), ("index", 2)], "name string, ord int"), str(tmp_path / "nulls")).collect()
+    assert sorted(r.dir for r in nulls) == ["index", "index-2"]
+
+
+def test_names_of_one_slug_are_many_tasks(spark):
+    from termlake.operators import naming
+    rows = spark.range(4000).select(F.lit("same").alias("name"), F.col("id").alias("ord"))
+    share = rows.groupBy(naming._slices(rows).alias("slice")).count().collect()
+    assert len(share) == 4 and max(r["count"] for r in share) < 1600
+
+
 def _docs(spark, ids, text="some words here"):
     return spark.createDataFrame([(f"p{i}.txt", f"p{i}.txt", "txt", f"{text} n{i}", 1, 10) for i in ids],
                                  "path string, filename string, ext string, content string, modified bigint, size bigint")
