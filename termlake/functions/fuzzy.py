@@ -7,6 +7,8 @@ word's variants are literals, so their number depends on its length only."""
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,3 +67,27 @@ def within_distance_of(term: Column, stem: Column, distance: Column) -> Column:
     of_term = least(F.transform(_swapped(term), lambda u: lev(stem, u) + 1))
     near_len = F.abs(F.char_length(term) - F.char_length(stem)) <= distance
     return F.when(near_len, F.least(lev(term, stem), of_stem, of_term) <= distance).otherwise(False)
+
+
+# --- look-up by what is left -------------------------------------------------
+
+#: Letters are taken out of a word's beginning only, so a long word has as few rests
+#: as a word of this length, 29. Two words within ``d`` edits still share one: edits up
+#: to there take no more than ``d`` of these letters from either word.
+REST_OF = 7
+
+
+def rests(word: str, bound: int = 2) -> list[str]:
+    """What is left of a word's beginning when up to ``bound`` letters are taken out."""
+    start = word[:REST_OF]
+    return sorted({"".join(c for i, c in enumerate(start) if i not in out)
+                   for n in range(bound + 1) for out in combinations(range(len(start)), n)})
+
+
+def rests_of(word: Column) -> Column:
+    """``rests`` of a column, for up to two letters."""
+    start = F.substring(word, 1, REST_OF)
+    without = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(w), F.lit(1))), lambda i: F.concat(
+        F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.lit(REST_OF))))
+    one = without(start)
+    return F.array_distinct(F.concat(F.array(start), one, F.flatten(F.transform(one, without))))

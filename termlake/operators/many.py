@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from ..functions.fuzzy import within_distance_of
+from ..functions.fuzzy import rests_of, within_distance_of
 from ..functions.text import glob_pattern, tokens
 from ..schema import KEY, TEXT_FIELDS, VERBATIM_FIELDS
 from .conditions import BARE_ANCHORS, BRACKETS, UNSUPPORTED, Condition, groups_of
@@ -178,7 +178,13 @@ def search_many(tables: SearchTables, queries: DataFrame, limit: int,
     words, exact = _words(leaves), _exact(leaves)
     patterns = leaves.filter(F.col("kind").isin("wildcard", "regex", "fuzzy")).join(exact.select("leaf"), "leaf", "left_anti")
     vocab = tables.vocab.filter("field = 'content'").select("term").distinct()
-    expanded = vocab.join(hint(patterns), _fits(F.col("term"))).select(
+    if tables.rests is None:
+        fitting = vocab.join(hint(patterns), _fits(F.col("term"))).select("leaf", "term")
+    else:  # fuzzy words meet terms by an equality, on what is left without some letters
+        fuzzy = patterns.filter("kind = 'fuzzy'").withColumn("rest", F.explode(rests_of(F.col("text"))))
+        near_terms = tables.rests.join(hint(fuzzy), "rest").filter(_fits(F.col("term"))).select("leaf", "term").distinct()
+        fitting = vocab.join(hint(patterns.filter("kind <> 'fuzzy'")), _fits(F.col("term"))).select("leaf", "term").unionByName(near_terms)
+    expanded = fitting.select(
         "leaf", "term", F.lit("content").alias("field"), F.lit(None).cast("string").alias("only_path"), F.lit(False).alias("has_tokens"))
     named = exact.unionByName(expanded)
     named = F.broadcast(named) if small(named) else named

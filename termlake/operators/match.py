@@ -12,7 +12,7 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import within_distance
+from ..functions.fuzzy import rests, within_distance
 from ..functions.text import glob_to_regex, literal_runs, required_gram, whole_token
 from ..schema import KEY, TEXT_FIELDS
 from .conditions import Condition, Leaf, groups_of, leaves_of
@@ -30,11 +30,13 @@ ANY = lambda cols: reduce(lambda a, b: a | b, cols)
 class SearchTables:
     """What a search reads. ``index`` are index rows, ``vocab`` (term, field, df)
     where several rows of a term add up, ``stats`` the per-field statistics,
-    ``grams`` (gram, term) the content terms that hold a run of three characters."""
+    ``grams`` (gram, term) the content terms that hold a run of three characters,
+    ``rests`` (rest, term) those of which a rest is left without up to two letters."""
     index: DataFrame
     vocab: DataFrame
     stats: dict[str, FieldStats]
     grams: DataFrame | None = None
+    rests: DataFrame | None = None
 
 
 @dataclass
@@ -67,9 +69,14 @@ def _is_any(leaf: Leaf) -> bool:
     return leaf.kind == "glob" and not leaf.text.strip("*")
 
 
-def candidates(leaf: Leaf, vocab: DataFrame, grams: DataFrame | None) -> DataFrame:
+def candidates(leaf: Leaf, vocab: DataFrame, grams: DataFrame | None, by_rest: DataFrame | None = None) -> DataFrame:
     """The content terms a pattern is tested on: those with three characters that it
-    demands, or all if it demands none. Grams are sorted, so few are read."""
+    demands, or all if it demands none; for a fuzzy word those that share a rest with
+    it. Grams and rests are sorted, so few are read."""
+    if leaf.kind == "fuzzy" and by_rest is not None:
+        keys = rests(leaf.text, leaf.bound)
+        tens = [keys[i:i + 10] for i in range(0, len(keys), 10)]  # longer lists reach the scan as one range only
+        return by_rest.filter(ANY([F.col("rest").isin(ten) for ten in tens])).select("term")
     runs = re.split(r"[*?]", leaf.text) if leaf.kind == "glob" else literal_runs(leaf.text) if leaf.kind == "regex" else []
     gram = required_gram(runs)
     if grams is None or gram is None:
@@ -77,7 +84,8 @@ def candidates(leaf: Leaf, vocab: DataFrame, grams: DataFrame | None) -> DataFra
     return grams.filter(F.col("gram") == gram).select("term")
 
 
-def resolve(vocab: DataFrame, leaves: list[Leaf], max_expansion: int = MAX_EXPANSION, grams: DataFrame | None = None) -> Resolved:
+def resolve(vocab: DataFrame, leaves: list[Leaf], max_expansion: int = MAX_EXPANSION, grams: DataFrame | None = None,
+            by_rest: DataFrame | None = None) -> Resolved:
     out = Resolved()
     words = sorted({w for l in leaves if l.kind == "words" for _, w in l.words})
     if words:
@@ -88,7 +96,7 @@ def resolve(vocab: DataFrame, leaves: list[Leaf], max_expansion: int = MAX_EXPAN
             continue
         if leaf.kind == "regex":
             check_pattern(vocab, leaf)
-        hits = (candidates(leaf, vocab, grams).filter(pattern_test(leaf, F.col("term")))
+        hits = (candidates(leaf, vocab, grams, by_rest).filter(pattern_test(leaf, F.col("term")))
                 .distinct().limit(max_expansion + 1).collect())
         out.expansion[leaf] = sorted(r.term for r in hits) if len(hits) <= max_expansion else None
     return out
@@ -172,7 +180,7 @@ def matches(tables: SearchTables, condition: Condition, res: Resolved | None = N
     """(path, copy, gen, score) of every matching document."""
     groups = groups_of(condition)
     leaves = leaves_of(groups)
-    res = res or resolve(tables.vocab, leaves, grams=tables.grams)
+    res = res or resolve(tables.vocab, leaves, grams=tables.grams, by_rest=tables.rests)
     stats = tables.stats
     rows = tables.index
     plain = [l for l in leaves if not l.is_near]

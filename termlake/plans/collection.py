@@ -23,6 +23,7 @@ from math import ceil
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.fuzzy import rests_of
 from ..functions.snippet import with_snippet
 from ..functions.text import grams_of
 from ..operators.conditions import Condition, groups_of, leaves_of
@@ -152,10 +153,18 @@ class Collection:
                 .schema("term string, field string, df bigint, gen bigint")
                 .parquet(f"{self.base_dir}/vocab").filter(F.col("gen").isin(list(self.version.gens)) & (F.col("term") != "")))
 
+    def _lookup(self, kind: str, key: str) -> DataFrame:
+        path = f"{self.base_dir}/{kind}"
+        return (self.spark.read.option("basePath", path).schema(f"{key} string, term string, gen bigint")
+                .parquet(path).filter(F.col("gen").isin(list(self.version.gens))))
+
     def grams(self) -> DataFrame:
         """(gram, term) of the content terms that some build added."""
-        return (self.spark.read.option("basePath", f"{self.base_dir}/grams").schema("gram string, term string, gen bigint")
-                .parquet(f"{self.base_dir}/grams").filter(F.col("gen").isin(list(self.version.gens))))
+        return self._lookup("grams", "gram")
+
+    def rests(self) -> DataFrame:
+        """(rest, term) of the content terms that some build added."""
+        return self._lookup("rests", "rest")
 
     def vocabulary(self) -> DataFrame:
         return self.vocab().groupBy("term", "field").agg(F.sum("df").alias("df")).filter("df > 0")
@@ -205,8 +214,10 @@ class Collection:
                       .agg(F.sum("df").alias("df"), F.sum("total_dl").alias("total_dl"), F.sum("fresh").alias("fresh")))
         (change.filter((F.col("df") != 0) | length).repartitionByRange("term").sortWithinPartitions("term", "field")
          .write.mode("append").parquet(f"{vocab}/gen={gen}"))
-        (table(gen).filter((F.col("field") == "content") & (F.col("df") > 0)).select(F.explode(grams_of("term")).alias("gram"), "term")
-         .repartitionByRange("gram").sortWithinPartitions("gram", "term").write.mode("append").parquet(f"{self.base_dir}/grams/gen={gen}"))
+        terms = table(gen).filter((F.col("field") == "content") & (F.col("df") > 0) & (F.col("term") != ""))
+        for kind, key, keys in (("grams", "gram", grams_of("term")), ("rests", "rest", rests_of(F.col("term")))):
+            (terms.select(F.explode(keys).alias(key), "term").repartitionByRange(key).sortWithinPartitions(key, "term")
+             .write.mode("append").parquet(f"{self.base_dir}/{kind}/gen={gen}"))
         own = {r.field: r for r in table(gen).filter(length).collect()}
         value = lambda f, name: (own[f][name] or 0) if f in own else 0
         n_docs = value("content", "fresh")
@@ -241,7 +252,7 @@ class Collection:
     # --- searching ----------------------------------------------------------
 
     def search_tables(self) -> SearchTables:
-        return SearchTables(self._rows("postings"), self.vocab(), self.stats(), self.grams())
+        return SearchTables(self._rows("postings"), self.vocab(), self.stats(), self.grams(), self.rests())
 
     def matches(self, condition: Condition, res=None) -> DataFrame:
         """(path, copy, gen, score) of every live matching document, lazily."""
@@ -255,7 +266,7 @@ class Collection:
         a larger ``limit`` they are broadcast, or joined bucket by bucket."""
         if limit < 1:
             raise ValueError("limit must be at least 1")
-        res = resolve(self.vocab(), leaves_of(groups_of(condition)), grams=self.grams())
+        res = resolve(self.vocab(), leaves_of(groups_of(condition)), grams=self.grams(), by_rest=self.rests())
         top = top_k(self.matches(condition, res), limit, KEY)
         docs = self._rows("documents")
         if limit <= MAX_HITS_BY_KEY:

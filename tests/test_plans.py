@@ -62,6 +62,18 @@ def test_patterns_with_three_letters_read_their_grams_only(spark, sf_dir):
     assert "/grams" not in plan(candidates(leaves[5], coll.vocab(), coll.grams()))
 
 
+def test_fuzzy_words_read_their_rests_only(spark, sf_dir):
+    from termlake.operators.match import candidates, resolve
+    coll = entry.collection(spark, sf_dir)
+    leaves = [tl.fuzzy(w, d) for w in ("a", "teh", "wihch", "becuase", "governmnt", "xx") for d in (1, 2)]
+    with_rests, without = resolve(coll.vocab(), leaves, by_rest=coll.rests()), resolve(coll.vocab(), leaves)
+    assert with_rests.expansion == without.expansion and any(with_rests.expansion.values())
+    p = plan(candidates(leaves[-2], coll.vocab(), coll.rests(), coll.rests()))
+    assert "/rests" in p and "/vocab" not in p and ("EqualTo(rest,x)" in p or "In(rest, [" in p), p
+    n, everything = (df.distinct().count() for df in (candidates(leaves[5], coll.vocab(), None, coll.rests()), coll.rests().select("term")))
+    assert 0 < n < everything / 4
+
+
 def test_joins_of_a_sync_stay_in_their_buckets(spark, sf_dir, monkeypatch, tmp_path):
     from termlake.plans import collection as col, store as st
     monkeypatch.setattr(st, "REWRITE_SHARE", 100.0)

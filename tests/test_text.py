@@ -96,3 +96,24 @@ def test_literal_runs_are_in_every_match():
         for text in ("abc", "abd", "abcd", "xayz", "1abc", "adef", "acd", "abbcd", "axde", "xab", "]ab"):
             if re.fullmatch(pattern, text):
                 assert all(r in text for r in runs)
+
+
+def test_words_within_two_edits_share_a_rest(spark):
+    """Every word that one or two edits, swaps included, make of a word, at any place."""
+    import random
+
+    from termlake.functions.fuzzy import rests, rests_of
+    rng = random.Random(3)
+
+    def edits(w):
+        yield from (w[:i] + w[i + 1:] for i in range(len(w)))
+        yield from (w[:i] + c + w[i:] for i in range(len(w) + 1) for c in "ax")
+        yield from (w[:i] + "x" + w[i + 1:] for i in range(len(w)))
+        yield from (w[:i] + w[i + 1] + w[i] + w[i + 2:] for i in range(len(w) - 1))
+
+    for word in ["", "a", "ab", "élan", "abcdefg", "abcdefgh", "aabbaabbaabb", "".join(rng.choices("abcd", k=12))]:
+        for one in edits(word):
+            assert set(rests(word, 1)) & set(rests(one, 1))
+            for two in edits(one):
+                assert set(rests(word)) & set(rests(two)), (word, two)
+        assert sorted(spark.createDataFrame([(word,)], "w string").select(rests_of(F.col("w"))).first()[0]) == rests(word)
