@@ -102,3 +102,31 @@ def test_joins_of_a_sync_stay_in_their_buckets(spark, sf_dir, monkeypatch, tmp_p
             level = depth(l)
     below_join = path_up[:next(i for i, l in enumerate(path_up) if "Join" in l)]
     assert not any("Exchange" in l for l in below_join), big
+
+
+def test_tokens_of_a_task_are_not_sorted_together(spark, sf_dir):
+    """Terms are cut out of each document's own row, so nothing above them is grouped or sorted."""
+    p = plan(index_rows(entry.collection(spark, sf_dir).keyed_documents()))
+    above = p[:p.index("Generate")]
+    assert "Aggregate" not in above and "Sort" not in above, p
+
+
+def test_a_bucket_is_small_enough_for_a_task(spark):
+    """Its postings, some 18 bytes a byte of text while they are sorted, fit a task's share of 700 MB."""
+    from termlake.plans.collection import bucket_count
+    for n_bytes in (100_000_000, 1_000_000_000, 6_000_000_000):
+        assert n_bytes / bucket_count(n_bytes) * 18 < 700_000_000
+
+
+def test_texts_of_one_key_are_one_document(spark):
+    rows = [("p", "f.md", "md", "b a b"), ("p", "f.md", "md", "a c"), ("q", None, None, None), ("r", "", "", "A a")]
+    got = index_rows(spark.createDataFrame(rows, "path string, filename string, ext string, content string")).collect()
+    found = {(r.path, r.field, r.term): (r.tf, r.positions) for r in got}
+    assert len(found) == len(got)
+    assert {k[2]: v for k, v in found.items() if k[:2] == ("p", "content")} == {
+        "a": (2, [0, 1]), "b": (2, [0, 2]), "c": (1, [1]), "": (0, [])}
+    assert found["p", "ext", "md"] == (2, [0, 0]) and found["p", "filename", "f"] == (2, [0, 0])
+    assert {k[1:]: v for k, v in found.items() if k[0] == "q"} == {
+        ("content", ""): (0, []), ("filename", ""): (0, []), ("ext", None): (1, [0])}
+    assert found["r", "content", "a"] == (2, [0, 1])
+    assert {r.dl for r in got if r.path == "r" and r.field == "content"} == {2}
