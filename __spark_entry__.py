@@ -243,10 +243,13 @@ def build_collection(spark, sf_dir):
 def put_files(rows: DataFrame, root: str) -> None:
     """Write each (path, content) as a file under ``root``, in tasks."""
     def put(frames):
+        made = set()
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"]):
                 filesystem, inner, _ = _open_dir(f"{root}/{path}")
-                filesystem.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                if (folder := inner.rsplit("/", 1)[0]) not in made:
+                    filesystem.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with filesystem.open_output_stream(inner) as out:
                     out.write((content or "").encode())
             yield frame[["path"]]

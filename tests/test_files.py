@@ -129,3 +129,37 @@ def test_ignore_files_and_their_precedence(spark, tmp_path):
     store.build("c")
     found = {r.path.split("/src/")[1] for r in store.open("c").documents().collect()}
     assert found == {"a.txt", "c.txt", "sub/a.txt"}
+
+
+def test_small_files_and_hidden_ones_are_shared_out(spark, tmp_path):
+    """Not a task for every 32 files, and hidden files are not read in one task."""
+    from termlake.sources.files import few_tasks
+    for i in range(150):
+        write(tmp_path, f"{i}.txt", f"text {i}")
+        write(tmp_path, f".{i}.txt", f"text {i}")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    listed = scan_files(spark, [str(tmp_path)])
+    assert listed.rdd.getNumPartitions() > n >= few_tasks(listed).rdd.getNumPartitions()
+    assert few_tasks(listed).count() == 150
+    read = read_hidden(hidden_files(spark, [str(tmp_path)], listed))
+    assert read.rdd.getNumPartitions() == n
+    assert sorted(bytes(r.content).decode() for r in read.collect()) == sorted(f"text {i}" for i in range(150))
+
+
+def test_a_build_scans_its_folder_once_for_the_listing(spark, tmp_path, monkeypatch):
+    """All steps but the one that reads texts are on the listing that the first wrote."""
+    import termlake as tl
+    from termlake.plans import store as st
+    write(tmp_path, "src/a.txt", "fox")
+    write(tmp_path, "src/b.log", "fox")
+    write(tmp_path, "src/.c.log", "fox")
+    write(tmp_path, "src/.gitignore", "*.log\n")
+    given = []
+    seen = lambda f: lambda *a: (given.append(a), f(*a))[1]
+    for name in ("hidden_files", "ignore_lines", "apply_ignore"):
+        monkeypatch.setattr(st, name, seen(getattr(st, name)))
+    store = tl.CollectionStore(spark, str(tmp_path / "store"))
+    store.create("c", [str(tmp_path / "src")])
+    assert store.build_full("c")["indexed"] == 1 and store.build("c")["unchanged"] == 1
+    frames = [x for a in given for x in a if hasattr(x, "_jdf")]
+    assert len(given) == 8 and not any("binaryFile" in x._jdf.queryExecution().optimizedPlan().toString() for x in frames)
