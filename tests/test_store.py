@@ -332,3 +332,19 @@ def test_a_small_sync_reads_no_text_of_the_dead(spark, tmp_path, monkeypatch):
     v = {(r.term, r.field): r.df for r in store.open("c").vocabulary().collect()}
     assert v[("some", "content")] == 59 and v[("other", "content")] == 1
     assert dict(store.open("c").version.lengths)["content"] == 59 * 4 + 3
+
+
+def test_a_change_of_the_manifest_reads_it_once(spark, tmp_path, monkeypatch):
+    store, looks = tl.CollectionStore(spark, str(tmp_path)), []
+    log = st.CollectionStore._log
+    monkeypatch.setattr(st.CollectionStore, "_log", lambda self: (looks.append(1), log(self))[1])
+    made = [store.create(n, [f"/x/{n}"]) for n in ("One", "one!", "Two")]
+    assert [tuple(r) for r in made] == [("One", "one", ["/x/One"], 0, None), ("one!", "one-2", ["/x/one!"], 0, None), ("Two", "two", ["/x/Two"], 0, None)]
+    store.drop("One")
+    assert len(looks) == 4
+    assert [store.get(r.name) for r in made[1:]] == made[1:]
+    with pytest.raises(KeyError):
+        store.drop("One")
+    assert store.create(" One ", []).dir == "one"
+    assert log(store).agg(F.count_distinct("seq"), F.max("seq")).first() == (5, 5)
+    assert sorted(r.name for r in store.list().collect()) == ["One", "Two", "one!"]
