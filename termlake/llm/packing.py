@@ -40,6 +40,8 @@ SENTENCE_CUT, HARD_CUT, SEQUENCE = 8.0, 64.0, 16.0
 HARD_STEP = 256
 SHORT_WINDOWS = (32, 64, 128, 256, 512, 1024)
 GATHER_TOKENS = 400_000
+#: Parts of text whose ids a worker remembers, in each of two generations.
+REMEMBERED = 250_000
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "sequence_tokens long")
@@ -51,7 +53,7 @@ class Encoder:
     """Ids of whole texts, as the tokenizer gives them, and where sentences end."""
 
     def __init__(self, path: str):
-        self.tokens = ByteLevel(path, specials=True)
+        self.tokens = ByteLevel(path, specials=True, remembered=REMEMBERED)
         vocabulary = self.tokens.tokenizer.get_vocab()
         size = max(vocabulary.values(), default=0) + 2
         self.ends, self.opens = np.zeros(size, bool), np.zeros(size, bool)
@@ -73,27 +75,36 @@ def encoder(path: str) -> Encoder:
 
 # --- cuts ------------------------------------------------------------------------
 
+def short_starts(at: list[int], window: int) -> dict[int, list[int]]:
+    """The cuts that are just a short window before a cut, of each cut that has any."""
+    places = np.asarray(at)
+    found: dict[int, list[int]] = {}
+    for n in (n for n in SHORT_WINDOWS if n < window):
+        before = np.searchsorted(places, places - n, "right") - 1
+        cuts = np.flatnonzero((before >= 0) & (places[before] == places - n))
+        for j, k in zip(cuts.tolist(), before[cuts].tolist(), strict=True):
+            found.setdefault(j, []).append(k)
+    return found
+
+
 def choose_cuts(at: list[int], penalty: list[float], window: int = WINDOW) -> tuple[list[float], list[int]]:
     """For each possible cut ``at`` (ascending from 0, at most a window apart) the
     cost of the best way to it and the cut before it on that way."""
     cost, back, queue = [0.0] * len(at), [0] * len(at), deque([0])
     level = [0.0] * len(at)  # cost + position: what the queue is ordered by
     level[0] = float(at[0])
-    where = {at[0]: 0}
-    short = [n for n in SHORT_WINDOWS if n < window]
+    short = short_starts(at, window)
     for j in range(1, len(at)):
         p = at[j]
         while at[queue[0]] < p - window:
             queue.popleft()
         i = queue[0]
         best = level[i] + window - p
-        for n in short:
-            k = where.get(p - n)
-            if k is not None and cost[k] < best:
+        for k in short.get(j, ()):
+            if cost[k] < best:
                 best, i = cost[k], k
         best += penalty[j] + SEQUENCE
         cost[j], back[j], level[j] = best, i, best + p
-        where[p] = j
         while queue and level[queue[-1]] >= level[j]:
             queue.pop()
         queue.append(j)

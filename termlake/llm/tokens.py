@@ -90,7 +90,7 @@ class ByteLevel:
     """A byte-level tokenizer file. ``specials`` says whether the strings of special
     tokens inside texts become those tokens; if not they are ordinary text."""
 
-    def __init__(self, path: str, specials: bool):
+    def __init__(self, path: str, specials: bool, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not specials
@@ -98,7 +98,7 @@ class ByteLevel:
         self.merger, self.bytes = merger(source), token_bytes(source)
         names = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()] if specials else []
         self.special = re.compile("|".join(names) or r"(?!)")
-        self.memory = Memory(lambda part: array("I", self.merger.encode_ordinary(part)).tobytes())
+        self.memory = Memory(lambda part: array("I", self.merger.encode_ordinary(part)).tobytes(), remembered)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

@@ -299,6 +299,12 @@ def test_cuts_are_the_cheapest():
         assert cost == pytest.approx(best) and all(at[j] - at[back[j]] <= window for j in range(1, len(at)))
 
 
+def test_short_windows_are_found_at_once():
+    at = [0, 30, 32, 64, 70, 96, 128, 256]
+    want = {j: [at.index(p - n) for n in packing.SHORT_WINDOWS if n < 128 and p - n in at] for j, p in enumerate(at)}
+    assert packing.short_starts(at, 128) == {j: k for j, k in want.items() if k}
+
+
 def test_parts_have_the_ids_of_whole_texts():
     path = packing.public_tokenizer()
     coder = packing.Encoder(path)
