@@ -117,3 +117,12 @@ def test_words_within_two_edits_share_a_rest(spark):
             for two in edits(one):
                 assert set(rests(word)) & set(rests(two)), (word, two)
         assert sorted(spark.createDataFrame([(word,)], "w string").select(rests_of(F.col("w"))).first()[0]) == rests(word)
+
+
+def test_rests_are_compiled(spark):
+    """No expression over array elements, which Spark would interpret for each rest."""
+    from termlake.functions.fuzzy import rests_of
+    rests = spark.range(1).select(rests_of(F.col("id").cast("string")).alias("r"))
+    assert "lambda" not in rests._jdf.queryExecution().executedPlan().toString()
+    null = spark.createDataFrame([(None,)], "w string").select(rests_of(F.col("w"))).first()[0]
+    assert null == [None]
