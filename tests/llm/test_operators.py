@@ -224,6 +224,33 @@ def test_quality_runs_no_python(docs, none):
     assert quality.quality(none).collect() == []
 
 
+def test_quality_of_a_long_text_is_filtered_in_time(spark):
+    words = 60_000
+    text = " ".join(f"w{i % 50_000}" for i in range(words))
+    out = quality.quality(spark.createDataFrame([(1, text)], "doc_id long, text string")).filter("not base_failed").collect()
+    assert [(r.n_words, r.n_repeat_words) for r in out] == [(words, 20_000)]
+
+
+def test_quality_cuts_a_text_into_words_once(docs):
+    plan = quality.quality(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2  # words and lines
+
+
+@pytest.mark.parametrize("bits", [3, 5, 8, 62])
+def test_repeated_words_where_hashes_clash_or_places_do_not_fit(spark, monkeypatch, bits):
+    rng = random.Random(bits)
+    texts = [" ".join(rng.choice("abcdefghijkl") for _ in range(n)) for n in (*range(12), *range(20, 300, 9))]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(quality, "PLACE_BITS", bits)
+    out = quality.quality(table).orderBy("doc_id").collect()
+    assert [r.n_repeat_words for r in out] == [base_of(t)[4] for t in texts]
+
+
+def test_stop_words_in_capitals(spark):
+    row = quality.quality(spark.createDataFrame([(1, "The THE the\tThat nicht NICHT Theatre \u0130n")], "doc_id long, text string")).first()
+    assert (row.n_stop_words, row.n_upper, row.n_letters, row.n_lines) == (6, 12, 32, 1)
+
+
 # --- 4 ---------------------------------------------------------------------------------
 
 def test_scores_against_brute_force(spark, odd):
