@@ -71,22 +71,24 @@ class Pieces:
         self.lead = self.model.encode("\n")  # the space before it and the line break
         same = all(self.model.normalize(x) == "▁" + x.replace(" ", "▁") for x in (" a  b ", "ÄﬁΩ ́e"))
         self.apart = splits and same and len(self.lead) == 2
-        self.memory = Memory(self._part)
+        self.memory = Memory(lambda part: self._parts([part])[0])
 
-    def _part(self, part: str) -> bytes:
+    def _parts(self, parts: list[str]) -> list[bytes]:
         """A part that begins with a space is a text without it; another one is what
         comes after a line break."""
-        if part in (" ", "\n"):
-            return array("I", self.lead[:1] if part == " " else self.lead[1:]).tobytes()
-        return array("I", self.model.encode(part[1:]) if part[0] == " " else self.model.encode("\n" + part)[2:]).tobytes()
+        found = self.model.encode([x[1:] if x[0] == " " else "\n" + x for x in parts], num_threads=1)
+        return [array("I", self.lead[:1] if x == " " else self.lead[1:] if x == "\n" else i if x[0] == " " else i[2:]).tobytes()
+                for x, i in zip(parts, found, strict=True)]
 
     PART = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         self.memory.settle()
         known = self.memory.__getitem__
-        return [b"".join(map(known, self.PART.findall(" " + x))) if x and self.apart and "▁" not in x
-                else array("I", self.model.encode(x)).tobytes() for x in texts]
+        parts = [self.PART.findall(" " + x) if x and self.apart and "▁" not in x else None for x in texts]
+        self.memory.learn(set().union(*filter(None, parts)), self._parts)
+        return [array("I", self.model.encode(x)).tobytes() if own is None else b"".join(map(known, own))
+                for x, own in zip(texts, parts, strict=True)]
 
 
 class Side:
@@ -94,6 +96,8 @@ class Side:
 
     def __init__(self, tokens: ByteLevel | Pieces, after_last: str):
         self.encode, self.bytes = tokens.encode, tokens.bytes
+        #: Merges of bytes give back the bytes that they began with.
+        self.exact = isinstance(tokens, ByteLevel) and tokens.merger is not None
         self.lengths = np.array([len(x) for x in self.bytes])
         #: Each id with what follows it: inside its group, and as the last of it.
         self.names = np.array([[f"{i}{mark}".encode() for i in range(len(self.bytes))] for mark in (",", after_last)], object)
@@ -168,6 +172,18 @@ def overlaps(cuts: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.repeat(others + 1 - m, n), np.repeat(others + 1, n)
 
 
+def order_of(*keys: np.ndarray) -> np.ndarray:
+    """An order by ``keys``, the first one weighing most. They are put into one number
+    where they have room in it, which sorts in a single pass."""
+    bits = [int(k.max(initial=0)).bit_length() for k in keys]
+    if sum(bits) > 63:
+        return np.lexsort(keys[::-1])
+    one = keys[0].astype(np.int64)
+    for k, n in zip(keys[1:], bits[1:], strict=True):
+        one = (one << n) | k
+    return np.argsort(one)
+
+
 def linked(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray,
            group_text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, pair, links) of the different pairs linked in each text. A pair is the
@@ -190,7 +206,7 @@ def linked(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray,
     text, pair, n_links = map(np.concatenate, (texts, pairs, links))
     if not len(text):
         return text, pair, n_links
-    order = np.lexsort((pair, text))
+    order = order_of(text, pair >> 32, pair & 0xFFFFFFFF)
     text, pair = text[order], pair[order]
     new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (pair[1:] != pair[:-1])])
     return text[new], pair[new], np.add.reduceat(n_links[order], new)
@@ -203,7 +219,7 @@ class Alignment:
         self.a, self.b = a, b
         whole = [(" " + x).encode() if x else b"" for x in texts]
         ids = [[np.frombuffer(x, np.uint32) for x in c.encode(own)] for c, own in ((a, [" " + x for x in texts]), (b, texts))]
-        ok = [bool(w) and all(b"".join(map(c.bytes.__getitem__, x[k].tolist())) == w for c, x in zip((a, b), ids, strict=True))
+        ok = [bool(w) and all(c.exact or b"".join(map(c.bytes.__getitem__, x[k].tolist())) == w for c, x in zip((a, b), ids, strict=True))
               for k, w in enumerate(whole)]
         none = np.zeros(0, np.uint32)
         self.ids, self.of, ends = [], [], []
@@ -260,7 +276,7 @@ def align(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, buckets: int, id_
         def sent():
             text, pair, links = (np.concatenate(x) for x in zip(*gathered, strict=True))
             bucket = bucket_of(pair, buckets)
-            order = np.lexsort((text, pair, bucket))
+            order = order_of(bucket, pair >> 32, pair & 0xFFFFFFFF, text)
             text, pair, links, bucket = text[order], pair[order], links[order], bucket[order]
             own = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             ends = [*own[1:].tolist(), len(bucket)]
@@ -295,7 +311,7 @@ def align(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, buckets: int, id_
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     key, count = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     return key[new], np.add.reduceat(count[order], new) if len(key) else count

@@ -79,6 +79,18 @@ class Memory(dict):
         self[part] = value
         return value
 
+    def learn(self, parts: set[str], compute) -> None:
+        """Know all of ``parts``; ``compute`` gives those of a list that are new."""
+        new = []
+        for part in parts:
+            if part not in self:
+                value = self.old.get(part)
+                if value is None:
+                    new.append(part)
+                else:
+                    self[part] = value
+        self.update(zip(new, compute(new), strict=True))
+
     def settle(self) -> None:
         """Start a new generation if this one is full."""
         if len(self) > self.size:

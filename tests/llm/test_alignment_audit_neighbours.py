@@ -165,6 +165,33 @@ def test_alignment_of_documents_and_odd_rows(spark, sf_dir, both):
     assert token_alignment.alignment(odd.limit(0), *both[0]).collect() == []
 
 
+def test_order_by_several_keys_with_and_without_room():
+    rng = np.random.default_rng(7)
+    for high in (3, 1 << 15, 1 << 31):
+        keys = rng.integers(0, 4, 500), rng.integers(0, high, 500), rng.integers(0, high, 500), np.arange(500)
+        assert token_alignment.order_of(*keys).tolist() == np.lexsort(keys[::-1]).tolist()
+    assert token_alignment.order_of(keys[0][:0], keys[1][:0]).tolist() == []
+
+
+def test_new_parts_are_encoded_in_one_call(both):
+    pieces, texts = token_alignment.Pieces(both[0][1]), odd_texts() + ["a b\nc", "", "\n \n"]
+    real, calls = pieces.model, []
+
+    class Counted:
+        def encode(self, text, **kw):
+            calls.append(text)
+            return real.encode(text, **kw)
+
+    pieces.model = Counted()
+    got = pieces.encode(texts)
+    assert pieces.apart and [np.frombuffer(x, np.uint32).tolist() for x in got] == [real.encode(x) for x in texts]
+    parts = [x for x in calls if isinstance(x, list)]
+    assert len(parts) == 1 and len(calls) == 1 + sum("▁" in x or not x for x in texts)
+    pieces.memory.old, calls[:] = dict(pieces.memory), []
+    pieces.memory.clear()
+    assert pieces.encode(texts) == got and [x for x in calls if isinstance(x, list)] == [[]]
+
+
 def test_galloping_finds_what_is_there():
     rng = np.random.default_rng(4)
     for _ in range(200):
