@@ -72,7 +72,7 @@ def _rolled(words: np.ndarray, n: int, base: int) -> np.ndarray:
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w) for w in words), np.uint64, len(words))
+    return np.fromiter(map(digest, words), np.uint64, len(words))
 
 
 def _along(x: np.ndarray, n: int, least) -> np.ndarray:
@@ -85,28 +85,46 @@ def _along(x: np.ndarray, n: int, least) -> np.ndarray:
     return x
 
 
-def anchors_of(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The anchor hash of every window, and where anchors are, with their hashes."""
+def window_anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every anchor sequence, and the anchor hash of every window."""
     if len(words) < window:
         none = np.zeros(0, np.uint64)
-        return none, np.zeros(0, np.int64), none
-    hashes, reach = _rolled(words, ANCHOR_WORDS, _BASE_2), window - ANCHOR_WORDS + 1
-    of_window = _along(hashes, reach, np.minimum)
-    around = _along(np.pad(of_window, reach - 1), reach, np.maximum)
+        return none, none
+    hashes = _rolled(words, ANCHOR_WORDS, _BASE_2)
+    return hashes, _along(hashes, window - ANCHOR_WORDS + 1, np.minimum)
+
+
+def anchors_of(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where anchors are, and their hashes."""
+    hashes, of_window = window_anchors(words, window)
+    if not len(of_window):
+        return np.zeros(0, np.int64), hashes
+    reach = window - ANCHOR_WORDS + 1
+    beside = np.zeros(reach - 1, np.uint64)
+    around = _along(np.concatenate([beside, of_window, beside]), reach, np.maximum)
     at = np.flatnonzero(hashes == around)  # the least of one of the windows that it lies in
-    return of_window, at, hashes[at]
+    return at, hashes[at]
 
 
-def _firsts(keys: list[np.ndarray], place: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Order by keys then place, and where each key begins in it."""
-    order = np.lexsort([*reversed(place), *reversed(keys)])
-    new = np.zeros(len(order), bool)
-    for k in keys:
-        k = k[order]
-        new[1:] |= k[1:] != k[:-1]
-    if len(new):
-        new[0] = True
-    return order, np.flatnonzero(new)
+def _firsts(key: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each different key, and the number of its rows. ``more`` is a
+    second part of the keys, which equal first parts seldom differ in."""
+    order = np.argsort(key)
+    sorted_ = key[order]
+    new = np.r_[True, sorted_[1:] != sorted_[:-1]]
+    if more is not None:
+        if (more[order][1:] != more[order][:-1])[~new[1:]].any():
+            order = np.lexsort((more, key))
+        new[1:] |= more[order][1:] != more[order][:-1]
+    start = np.flatnonzero(new)
+    return np.minimum.reduceat(order, start), np.diff(start, append=len(order))
+
+
+def _in_order(rows: list[tuple]) -> list[np.ndarray]:
+    """The columns of the documents' rows, (document, arrays); documents ascend."""
+    rows = sorted(rows, key=lambda r: r[0])
+    return [np.repeat([r[0] for r in rows], [len(r[1]) for r in rows]),
+            *(np.concatenate([r[i] for r in rows]) for i in range(1, len(rows[0])))]
 
 
 def _batch(names: str, *columns) -> pa.RecordBatch:
@@ -129,16 +147,15 @@ def _anchors(window: int):
         rows, waiting = [], 0
 
         def combined():
-            h, doc, at = (np.concatenate([r[i] for r in rows]) for i in range(3))
-            order, first = _firsts([h], [doc, at])
-            one = order[first]
-            return _batch("h doc at n", h[one].view(np.int64), doc[one], at[one], np.diff(np.r_[first, len(order)]))
+            doc, h, at = _in_order(rows)
+            one, n = _firsts(h)
+            return _batch("h doc at n", h[one].view(np.int64), doc[one], at[one], n)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                _, at, h = anchors_of(word_hashes((text.as_py() or b"").split()), window)
+                at, h = anchors_of(word_hashes((text.as_py() or b"").split()), window)
                 if len(h):
-                    rows.append((h, np.full(len(h), doc), at.astype(np.int32)))
+                    rows.append((doc, h, at.astype(np.int32)))
                     waiting += len(h)
                 if waiting > COMBINED_ROWS:
                     yield combined()
@@ -151,10 +168,15 @@ def _anchors(window: int):
 def _suspects(words: list[bytes], single: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the windows whose anchor is not at a single place, and word hashes."""
     hashes = word_hashes(words)
-    of_window, at, h = anchors_of(hashes, window)
-    change = np.flatnonzero(np.r_[True, of_window[1:] != of_window[:-1]]) if len(of_window) else at
-    open_ = ~np.isin(of_window[change], h[np.isin(at, single)])
-    return np.flatnonzero(np.repeat(open_, np.diff(np.r_[change, len(of_window)]))), hashes
+    anchors, of_window = window_anchors(hashes, window)
+    if not len(of_window):
+        return np.zeros(0, np.int64), hashes
+    if not len(single):
+        return np.arange(len(of_window)), hashes
+    change = np.concatenate([[0], np.flatnonzero(of_window[1:] != of_window[:-1]) + 1, [len(of_window)]])
+    own, alone = of_window[change[:-1]], np.sort(anchors[single])
+    open_ = alone[np.minimum(np.searchsorted(alone, own), len(alone) - 1)] != own
+    return np.flatnonzero(np.repeat(open_, np.diff(change))), hashes
 
 
 def _places(column, i: int) -> np.ndarray:
@@ -167,9 +189,8 @@ def _windows(window: int):
         rows, waiting = [], 0
 
         def combined():
-            a, b, doc, at = (np.concatenate([r[i] for r in rows]) for i in range(4))
-            order, first = _firsts([a, b], [doc, at])
-            one = order[first]
+            doc, a, b, at = _in_order(rows)
+            one, _ = _firsts(a, b)
             return _batch("a b doc start", a[one].view(np.int64), b[one].view(np.int32), doc[one], at[one])
 
         for batch in batches:
@@ -179,7 +200,7 @@ def _windows(window: int):
                 if len(start):
                     a = _rolled(hashes, window, _BASE)[start]
                     b = (_rolled(hashes, window, _BASE_2)[start] >> np.uint64(32)).astype(np.uint32)
-                    rows.append((a, b, np.full(len(a), doc), start.astype(np.int32)))
+                    rows.append((doc, a, b, start.astype(np.int32)))
                     waiting += len(a)
                 if waiting > COMBINED_ROWS:
                     yield combined()
@@ -218,7 +239,10 @@ def _parse(window: int):
             for i in range(batch.num_rows):
                 words = _words(batch.column(1)[i].as_py())
                 start, _ = _suspects(words, _places(batch.column(2), i), window)
-                found = factors(np.setdiff1d(start, _places(batch.column(3), i), assume_unique=True), window)
+                again = np.zeros(len(words), bool)
+                again[start] = True
+                again[_places(batch.column(3), i)] = False
+                found = factors(np.flatnonzero(again), window)
                 keep, kept = 0, []
                 for at, n in found:
                     kept += words[keep:at]  # empty where factors overlap

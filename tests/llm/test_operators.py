@@ -417,6 +417,33 @@ def test_substring_dedup_of_periodic_and_spliced_texts(spark):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out} == removed_of(rows)
 
 
+def test_first_rows_of_keys_that_agree_in_one_part():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 50, 400):
+        a, b = rng.integers(0, 9, n).astype(np.uint64), rng.integers(0, 4, n).astype(np.uint32)
+        for key, more in ((a, None), (a, b), (a, (a * np.uint64(3)).astype(np.uint32))):
+            seen = {}
+            for i, k in enumerate(zip(a.tolist(), [0] * n if more is None else more.tolist(), strict=True)):
+                seen.setdefault(k, []).append(i)
+            first, count = substring_dedup._firsts(key, more)
+            assert [(int(i), int(c)) for i, c in zip(first, count, strict=True)] == [(x[0], len(x)) for _, x in sorted(seen.items())]
+
+
+def test_suspects_are_found_without_set_look_ups(monkeypatch):
+    rng = random.Random(9)
+    words = [rng.choice([b"a", b"b", b"c", b"d", b"e"]) for _ in range(400)]
+    hashes = substring_dedup.word_hashes(words)
+    _, of_window = substring_dedup.window_anchors(hashes, 20)
+    at, h = substring_dedup.anchors_of(hashes, 20)
+    monkeypatch.setattr(np, "isin", None)
+    for share in (0, 3, 1):
+        single = at[[i for i in range(len(at)) if share and i % share == 0]]
+        alone = set(h[np.searchsorted(at, single)].tolist())
+        start, same = substring_dedup._suspects(words, single, 20)
+        assert start.tolist() == [i for i, x in enumerate(of_window.tolist()) if x not in alone] and (same == hashes).all()
+    assert substring_dedup._suspects(words[:19], at[:0], 20)[0].tolist() == []
+
+
 def test_substring_dedup_odd_rows(odd, none):
     out = substring_dedup.substring_dedup(odd).collect()
     rows = odd_rows()
