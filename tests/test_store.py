@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import termlake as tl
-from termlake.functions.fuzzy import within_distance, within_distance_of
+from termlake.functions.fuzzy import MAX_RESTS, within_distance, within_distance_of
 from termlake.functions.text import glob_pattern, glob_to_regex
 from termlake.operators import many, sync
 from termlake.plans import collection as col
@@ -348,3 +348,44 @@ def test_a_change_of_the_manifest_reads_it_once(spark, tmp_path, monkeypatch):
     assert store.create(" One ", []).dir == "one"
     assert log(store).agg(F.count_distinct("seq"), F.max("seq")).first() == (5, 5)
     assert sorted(r.name for r in store.list().collect()) == ["One", "Two", "one!"]
+
+
+def test_look_up_tables_are_sorted_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    """However many terms there are, no task sorts more rows than its bytes allow."""
+    monkeypatch.setattr(col, "LOOKUP_BYTES", 40_000)
+    rows = [(f"{i}.txt", f"{i}.txt", "txt", " ".join(f"w{i}x{k}ending" for k in range(50)), i, 10) for i in range(30)]
+    docs = spark.createDataFrame(rows, "path string, filename string, ext string, content string, modified bigint, size bigint")
+    store = tl.CollectionStore(spark, str(tmp_path))
+    store.create("c", [])
+    store.build_from("c", docs)
+    coll = store.open("c")
+    for table, key in ((coll.grams(), "gram"), (coll.rests(), "rest")):
+        per_file = table.groupBy(F.input_file_name().alias("file")).agg(
+            F.sum(F.octet_length("term") + col.LOOKUP_ROW_BYTES).alias("bytes"), F.min(key).alias("low"), F.max(key).alias("high"),
+            F.countDistinct(key).alias("keys")).orderBy("low").collect()
+        assert len(per_file) > 12
+        assert all(a.high < b.low for a, b in zip(per_file, per_file[1:]))  # one file for each look-up
+        assert max(r.bytes for r in per_file if r.keys > 1) < 6 * col.LOOKUP_BYTES  # a gram may be in every term
+    assert coll.rests().count() == coll.rests().distinct().count() <= 1500 * MAX_RESTS
+    assert coll.matches(tl.fuzzy("w7x1endnig", 2)).filter("path = '7.txt'").count() == 1
+    assert coll.matches(tl.wildcard("w7x49*")).count() == 1
+
+
+def test_sizes_of_tasks():
+    mb = 1024 * 1024
+    assert all(n * mb / col.bucket_count(n * mb) <= 16 * mb for n in (100, 168, 841, 10_000, 100_000))
+    assert col.lookup_parts(0, 8) == 1 and col.lookup_parts(30 * mb, 8) == 2 and col.lookup_parts(500 * mb, 8) == 8
+    assert all(n * mb / col.lookup_parts(n * mb, 12) <= 128 * mb for n in (1, 2_000, 50_000, 1_000_000))
+    assert col.lookup_parts(10 ** 15, 12) == col.MAX_LOOKUP_PARTS
+
+
+def test_tables_are_stored_as_zstd(spark, tmp_path):
+    import pyarrow.parquet as pq
+    rows = [("a.txt", "a.txt", "txt", "some words here", 1, 15)]
+    store = tl.CollectionStore(spark, str(tmp_path))
+    store.create("c", [])
+    store.build_from("c", spark.createDataFrame(rows, "path string, filename string, ext string, content string, modified bigint, size bigint"))
+    coll = store.open("c")
+    for kind in ("documents", "postings", "vocab", "grams", "rests"):
+        files = [f for f in (tmp_path / "c" / str(coll.version.base) / kind).rglob("*.parquet")]
+        assert files and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
