@@ -163,3 +163,65 @@ def test_a_build_scans_its_folder_once_for_the_listing(spark, tmp_path, monkeypa
     assert store.build_full("c")["indexed"] == 1 and store.build("c")["unchanged"] == 1
     frames = [x for a in given for x in a if hasattr(x, "_jdf")]
     assert len(given) == 8 and not any("binaryFile" in x._jdf.queryExecution().optimizedPlan().toString() for x in frames)
+
+
+@pytest.fixture
+def odd_tree(tmp_path):
+    for n in ("a.txt", "b c.md", "50%.txt", "100%25.txt", "x#y?.txt", "ü.txt", ".h.txt", "_u.txt", "_k=v.txt", "t._COPYING_",
+              "_metadata", "_metadata_x/m.txt", "_k=v/w.txt", "_hid/x.txt", ".hid/x.txt", "d/e/f/g.txt", "d/h i/j.txt", "z/k.gz"):
+        write(tmp_path, n, "text " + n)
+    write(tmp_path, "empty.txt", "")
+    write(tmp_path, "d/none.md", "")
+    os.makedirs(tmp_path / "bare/er")
+    os.symlink(tmp_path / "a.txt", tmp_path / "d/link.txt")
+    os.symlink(tmp_path / "d/e", tmp_path / "z/linked")
+    os.symlink(tmp_path / "nowhere", tmp_path / "broken.txt")
+    os.utime(tmp_path / "a.txt", ns=(0, 1_234_567_891_234_567_890))
+    return tmp_path
+
+
+@pytest.mark.parametrize("entries", [1, 20_000])
+def test_tasks_list_what_spark_lists(spark, odd_tree, monkeypatch, entries):
+    """The driver holds no list of files, and the rows are those of Spark's own listing."""
+    from termlake.sources import walk
+    from termlake.sources.files import spark_scan
+    monkeypatch.setattr(walk, "WALKED_ENTRIES", entries)  # with 1, a round for each level
+    roots = [str(odd_tree), f"{odd_tree}/d", f"{odd_tree}/d/e/"]
+    found = scan_files(spark, roots)
+    assert "binaryFile" not in found._jdf.queryExecution().toString()
+    rows = lambda df: sorted((r.path, r.modificationTime, r.length, bytes(r.content), r.copy) for r in df.collect())
+    assert rows(found) == rows(spark_scan(spark, roots)) and found.count() == 18
+    assert rows(scan_files(spark, [f"{odd_tree}/[dz]"])) == rows(spark_scan(spark, [f"{odd_tree}/[dz]"]))
+    assert rows(scan_files(spark, [f"{odd_tree}/a.txt"])) == rows(spark_scan(spark, [f"{odd_tree}/a.txt"]))
+    assert rows(scan_files(spark, [f"file://{odd_tree}", f"file:{odd_tree}/d/"])) == rows(spark_scan(spark, roots[:2]))
+    assert scan_files(spark, []).count() == 0
+
+
+def test_a_listing_is_kept_where_it_is_told(spark, tmp_path):
+    write(tmp_path, "src/a.txt", "x")
+    found = scan_files(spark, [str(tmp_path / "src")], work=str(tmp_path / "work"))
+    write(tmp_path, "src/b.txt", "x")
+    os.remove(tmp_path / "src/a.txt")
+    assert (tmp_path / "work").is_dir() and names(found, tmp_path) == ["src/a.txt"] and found.first().content is None
+    assert documents(found).count() == 0
+
+
+def test_files_are_read_once_and_only_if_asked_for(spark, tmp_path):
+    write(tmp_path, "a.txt", "x")
+    found = scan_files(spark, [str(tmp_path)])
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(documents(found)).split("== Initial Plan")[0].count("ArrowEvalPython") == 1
+    assert "ArrowEvalPython" not in plan(found.select("path", "length"))
+
+
+def test_large_directories_are_handed_on_in_parts(spark, tmp_path, monkeypatch):
+    from termlake.sources import walk
+    import pandas as pd
+    monkeypatch.setattr(walk, "HELD_ENTRIES", 4)
+    monkeypatch.setattr(walk, "HELD_BYTES", 10)
+    for i in range(10):
+        write(tmp_path, f"{i}.txt", "12345")
+    top = pd.DataFrame({"path": [f"file:{tmp_path}"], "copy": [0]})
+    parts = list(walk._walk(iter([top])))
+    assert [len(p) for p in parts] == [4, 4, 2]
+    assert [len(p) for p in walk._read(iter([pd.concat(parts, ignore_index=True)]))] == [2] * 5
