@@ -389,3 +389,47 @@ def test_tables_are_stored_as_zstd(spark, tmp_path):
     for kind in ("documents", "postings", "vocab", "grams", "rests"):
         files = [f for f in (tmp_path / "c" / str(coll.version.base) / kind).rglob("*.parquet")]
         assert files and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
+
+
+def _contents(store, name):
+    return sorted((r.filename, r.content, r["size"]) for r in store.open(name).documents().collect())
+
+
+def test_a_build_reads_files_in_tasks_and_only_those_it_needs(spark, tmp_path, monkeypatch):
+    """No listing by Spark, which the driver would hold; a sync opens the changed files alone."""
+    src = tmp_path / "a b/50%"  # as a URI these names need escapes
+    for n in ("x.txt", "y.md", ".h.txt", "p.png"):
+        put(src, n, "fox " + n)
+    put(src / "sub", "z.txt", "fox z")
+    given, real, real_read = [], st.read_documents, st.read_listed
+    monkeypatch.setattr(st, "read_documents", lambda df: (given.append(df), real(df))[1])
+    store = tl.CollectionStore(spark, str(tmp_path / "store"))
+    store.create("full", [f"file://{src}"])
+    assert store.build_full("full")["indexed"] == 4 and len(given) == 1
+    store.create("c", [str(src)])
+    assert store.build("c")["indexed"] == 4
+    assert _contents(store, "c") == _contents(store, "full") and len({r.path for r in store.open("full").documents().collect()}) == 4
+    put(src, "y.md", "fox again", 2_000_000_000)
+    put(src, ".h.txt", "fox hidden again", 2_000_000_000)
+    os.utime(src / "p.png", (0, 0))
+    read = []
+    monkeypatch.setattr(st, "read_listed", lambda df, n=0: (read.append(sorted(r.path.rsplit("/", 1)[1] for r in df.collect())), real_read(df, n))[1])
+    assert store.build("c") == dict(indexed=2, skipped=1, files_seen=5, unchanged=2, removed=0)
+    assert read == [[".h.txt", "y.md"]] and ("y.md", "fox again", 9) in _contents(store, "c")
+    assert len(given) == 3 and not any("binaryFile" in df._jdf.queryExecution().optimizedPlan().toString() for df in given)
+
+
+def test_folders_that_only_spark_reads_are_scanned_by_it(spark, tmp_path, monkeypatch):
+    from termlake.sources import files as fs
+    monkeypatch.setattr(fs, "reachable", lambda uri: False)
+    src = tmp_path / "src"
+    for n in ("x.txt", "y.md", ".h.txt", "n.log"):
+        put(src, n, "fox " + n, 1_000_000_000)
+    put(src, ".ignore", "*.log\n")
+    store = tl.CollectionStore(spark, str(tmp_path / "store"))
+    for name, run in (("full", store.build_full), ("c", store.build)):
+        store.create(name, [str(src)])
+        assert run(name)["indexed"] == 3
+    put(src, "y.md", "fox again", 2_000_000_000)
+    assert store.build("c")["indexed"] == 1
+    assert [c for _, c, _ in _contents(store, "c")] == ["fox .h.txt", "fox x.txt", "fox again"]
